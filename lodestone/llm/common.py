@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does so
+    when the driver's garbage is collected, which may be long after the disks
+    of the executors are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of a batch sent to Python, as texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -82,7 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice hold about ``most`` bytes."""
     for batch in batches:
-        sizes = [len_ or 0 for len_ in pa.compute.binary_length(batch.column(text)).to_pylist()]
+        sizes = [len_ or 0 for len_ in pc.binary_length(batch.column(text)).to_pylist()]
         start = size = 0
         for i, n in enumerate(sizes):
             if size and size + n > most:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan, token_output, url_filter
+from . import ordinal_quality, prefix_free, quality_rules, secret_scan, simhash_vptree, soft_mixing, string_tiling, token_output, url_filter
 from .common import table
 
 URL_RULES = [
@@ -16,10 +16,36 @@ URL_RULES = [
 ]
 
 
+#: Shares of the tokens that the mixing query aims at.
+DOMAIN_TARGETS = {"good": 0.94, "toxic": 0.03, "low": 0.03}
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality.select(docs, ordinal_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = soft_mixing.domain_labels(table(spark, sf_dir, "labels"), 20000)
+    return soft_mixing.report(table(spark, sf_dir, "documents"), labelled, DOMAIN_TARGETS)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.report(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
