@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ordinal_quality, prefix_free, quality_rules, secret_scan, simhash_vptree, soft_mixing, string_tiling, token_output, url_filter
+from . import hidden_markov, ordinal_quality, prefix_free, quality_rules, secret_scan, simhash_vptree, soft_mixing, string_tiling, token_output, url_filter
 from .common import table
 
 URL_RULES = [
@@ -20,6 +20,10 @@ URL_RULES = [
 DOMAIN_TARGETS = {"good": 0.94, "toxic": 0.03, "low": 0.03}
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ordinal_quality.select(docs, ordinal_quality.fit(docs, table(spark, sf_dir, "labels")))
