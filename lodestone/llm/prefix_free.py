@@ -29,7 +29,7 @@ much through but never too little.
 Defined results: a null text counts as empty; matches never cross documents;
 documents come in order of id, null first; rows of one id count as one
 document, by start; an empty table gives an empty result; extra columns are
-ignored by ``report`` and carried by ``strip``.
+ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ TRIGGER = 20
 #: Bytes parsed at once; longer texts are parsed in pieces that overlap.
 CHUNK = 1 << 18
 #: Phrases of one trigger that one task orders; more are dealt out as rows.
-MOST_PHRASES = 500
+MOST_PHRASES = 2000
 #: Bits of a bitmap of triggers, at the most: 64 MB.
 MOST_BITS = 29
 _PLACE = np.uint64((1 << 24) - 1)
@@ -278,8 +278,9 @@ def _later(rows: DataFrame, firsts: DataFrame, length: Column) -> DataFrame:
     return met.select("doc_id", "start", (F.col("start") + length).alias("end"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """(doc_id, start, end): byte runs that are made of repeated windows."""
+def repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> Stored:
+    """(doc_id, runs): the byte runs (a, b) made of repeated windows, of each
+    document that has any; they may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -290,23 +291,31 @@ def repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> Da
     again.drop()
     release(spark)
 
-    rows = Stored(texts.mapInArrow(_phrases(window, trigger, repeated), PHRASES), "phrases").df
-    first = Stored(rows.groupBy("k", "t").agg(one, F.min(place).alias("first")), "phrase-firsts").df
-    by_trigger = first.groupBy("t").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
-    several = Stored(by_trigger, "triggers-several").df
-    in_question = Stored(first.join(several, "t").select("k", "first.doc_id", "first.start").select(F.expr(_PLACE_HASH).alias("h")), "phrases-several").df
-    asked = _bitmap(in_question, in_question.count())
-    crowd = several.where(F.col("phrases") > MOST_PHRASES).select(F.col("t").alias("h"))
+    phrases = Stored(texts.mapInArrow(_phrases(window, trigger, repeated), PHRASES), "phrases")
+    firsts = Stored(phrases.df.groupBy("k", "t").agg(one, F.min(place).alias("first")), "phrase-firsts")
+    first = firsts.df
+    several = Stored(first.groupBy("t").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "triggers-several")
+    in_question = Stored(first.join(several.df, "t").select("k", "first.doc_id", "first.start").select(F.expr(_PLACE_HASH).alias("h")), "phrases-several")
+    asked = _bitmap(in_question.df, in_question.df.count())
+    crowd = several.df.where(F.col("phrases") > MOST_PHRASES).select(F.col("t").alias("h"))
     crowded = _bitmap(crowd, crowd.count())
-    entries = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, t bigint, doc_id bigint, start bigint, body binary"), "dictionary").df
+    several.drop()
+    in_question.drop()
+    dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, t bigint, doc_id bigint, start bigint, body binary"), "dictionary")
+    entries = dictionary.df
     release(spark)
 
-    whole = _later(rows, first.where("m > 1").select("k", "t", "first"), F.col("count") + (window - 1))
+    whole = _later(phrases.df, first.where("m > 1").select("k", "t", "first"), F.col("count") + (window - 1))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = entries.where("body is not null").select("t", "doc_id", "start", "body").repartition(n, "t").sortWithinPartitions("t").mapInArrow(_order(window), "doc_id bigint, start bigint, end bigint")
     suffixes = entries.where("body is null").select("k", "t", "doc_id", "start")
     crowd_firsts = suffixes.groupBy("k", "t").agg(one, F.min(place).alias("first")).where("m > 1").select("k", "t", "first")
-    return whole.unionByName(parts).unionByName(_later(suffixes, crowd_firsts, F.lit(window)))
+    found = whole.unionByName(parts).unionByName(_later(suffixes, crowd_firsts, F.lit(window)))
+    runs = Stored(found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
+    for done in (phrases, firsts, dictionary):
+        done.drop()
+    release(spark)
+    return runs
 
 
 def _merge_starts(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,13 +348,28 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_runs(docs: DataFrame, window: int, trigger: int) -> DataFrame:
-    runs = repeats(docs, window, trigger).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs"))
-    return docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+def _only(marked, wanted: bool):
+    """The documents that are in a bitmap of ids, or those that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(_marked(marked.value, ids) == wanted))
+
+    return run
 
 
 def report(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
     """Per document: bytes, bytes removed, maximal runs removed, and the
-    digest of what is left."""
-    found = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, trigger)
-    return found.select("doc_id", "text", "runs").mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    digest of what is left. Only documents with runs, as a bitmap of ids tells
+    roughly, send their texts through the join."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    runs = repeats(texts, window, trigger).df
+    ids = runs.select(F.coalesce("doc_id", F.lit(0)).alias("h"))
+    marked = _bitmap(ids, ids.count())
+    schema = "doc_id bigint, text string"
+    some = texts.mapInArrow(_only(marked, True), schema)
+    named = runs.select(F.col("doc_id").alias("_id"), "runs")
+    some = some.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    rest = texts.mapInArrow(_only(marked, False), schema).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    return some.unionByName(rest).mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
