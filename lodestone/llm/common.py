@@ -85,6 +85,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that working columns clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CHAR, Stored, labelled_sample, once, word_array
+from .common import WORD_CHAR, Stored, labelled_sample, once, whole_row, word_array
 
 #: Character class of what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
@@ -243,5 +243,5 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 def filter_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The documents that pass, with all their columns."""
-    out = with_statistics(docs)
-    return out.where(~base_failed() & ~rules.bad(features())).drop("_s")
+    out = with_statistics(docs.select(whole_row(docs).alias("row"), "text"))
+    return out.where(~base_failed() & ~rules.bad(features())).select("row.*")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, slices, small_batches
+from .common import Stored, slices, small_batches, whole_row
 from .components import components
 
 SAMPLE = 1 << 16
@@ -213,6 +213,7 @@ def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, the one of the least id, with all its
     columns. Documents without an id cannot be named and all stay."""
-    kept = components_of(docs, distance).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    kept = components_of(docs, distance).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs).alias("row"))
+    one = rows.join(kept, "doc_id").dropDuplicates(["doc_id"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))

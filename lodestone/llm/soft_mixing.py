@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, labelled_sample, once
+from .common import Stored, labelled_sample, once, whole_row
 
 #: Splits words, and words from the marks behind them.
 PIECES = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
@@ -175,5 +175,6 @@ def copies(rate: Column, key: str = "doc_id") -> Column:
 def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The documents, each as often as its copies say, with their columns."""
     model, rates, _ = mix(docs, labelled, targets, **options)
-    out = once(with_posterior(docs, model), "_c", copies(rates.column(F.col("_p"))))
-    return out.where("_c > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).drop("_k")
+    rows = docs.select(whole_row(docs).alias("row"), "doc_id", "text")
+    out = once(with_posterior(rows, model), "_c", copies(rates.column(F.col("_p"))))
+    return out.where("_c > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select("row.*")
