@@ -31,8 +31,10 @@ texts every token is unknown and scores 0, the one event there is.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,13 @@ from .common import Stored, release, slices, small_batches
 
 STATES = 6
 CLASSES = 1 << 14
-PASSES = 6
+PASSES = 5
 BLOCK_BYTES = 4 << 20
 SEGMENT = 128
-#: Tokens that one batch of sequences may hold at a time.
-BATCH_TOKENS = 1 << 18
+#: Tokens that one batch of sequences may hold, and tokens of the blocks whose
+#: sequences are grouped together: steps cost little more for many sequences.
+BATCH_TOKENS = 1 << 20
+POOL_TOKENS = 1 << 22
 END = b"\n"
 LN10 = float(np.log(10))
 
@@ -69,11 +73,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     that codes stand for with their counts in the training texts."""
     k = 0
     for batch in slices(batches, "text", BLOCK_BYTES):
-        known: dict[bytes, int] = {}
+        known: dict[bytes, int] = defaultdict(count().__next__)
         held, codes = batch.column("held").to_pylist(), []
         for text in batch.column("text").to_pylist():
             own = tokens(text)
-            codes.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.uint32, len(own)))
+            codes.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
         counts = np.zeros(len(known), np.int64)
         for c, h in zip(codes, held, strict=True):
             if not h:
@@ -200,7 +204,21 @@ def expect(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[np.ndar
 
 
 def _classes(block: dict, classes: int) -> np.ndarray:
-    return np.array([class_of(w, classes) for w in block["words"]], np.int64)[np.frombuffer(block["codes"], np.uint32)]
+    return np.array([class_of(w, classes) for w in block["words"]], np.int32)[np.frombuffer(block["codes"], np.uint32)]
+
+
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Blocks of about ``POOL_TOKENS`` tokens together."""
+    pool, size = [], 0
+    for batch in batches:
+        for block in batch.to_pylist():
+            pool.append(block)
+            size += len(block["codes"]) // 4
+            if size >= POOL_TOKENS:
+                yield pool
+                pool, size = [], 0
+    if pool:
+        yield pool
 
 
 def _expected(model: Model, classes: int):
@@ -211,13 +229,13 @@ def _expected(model: Model, classes: int):
         k = len(model.start)
         add = (np.zeros(k), np.zeros((k, k)), np.zeros((classes + 1, k)))
         total = 0.0
-        for batch in batches:
-            for block in batch.to_pylist():
-                seq, sizes = _classes(block, classes), np.array(block["sizes"])
-                begins, train = np.r_[0, sizes.cumsum()[:-1]], np.flatnonzero(~np.array(block["held"], bool))
-                for group in batches_of(sizes[train]):
-                    own = train[group]
-                    total += expect(model, _padded(seq, begins[own], sizes[own]), sizes[own], add)
+        for pool in _pools(batches):
+            seq = np.concatenate([_classes(b, classes) for b in pool])
+            sizes, held = np.array([n for b in pool for n in b["sizes"]]), np.array([h for b in pool for h in b["held"]], bool)
+            begins, train = np.r_[0, sizes.cumsum()[:-1]], np.flatnonzero(~held)
+            for group in batches_of(sizes[train]):
+                own = train[group]
+                total += expect(model, _padded(seq, begins[own], sizes[own]), sizes[own], add)
         used = np.flatnonzero(add[2].sum(axis=1))
         names = np.r_[used, -1, -2 - np.arange(k), -2 - k]
         rows = np.concatenate([add[2][used], add[0][None], add[1], np.r_[total, np.zeros(k - 1)][None]])
@@ -282,25 +300,25 @@ def _score(s: Scorer):
     model, classes, n, v, tokens_of, kinds_of = s.model, s.classes, s.n, s.v, s.class_tokens, s.class_kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                codes, sizes = np.frombuffer(b["codes"], np.uint32), np.array(b["sizes"])
-                c, cls = np.array(b["c"], np.float64), np.array([class_of(w, classes) for w in b["words"]], np.int64)
-                base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-                cls = np.where(c > 0, cls, classes)
+        for pool in _pools(batches):
+            ids, held = [i for b in pool for i in b["doc_ids"]], [h for b in pool for h in b["held"]]
+            sizes = np.array([m for b in pool for m in b["sizes"]])
+            seqs, bases, withins, hits = [], [], [], []
+            for b in pool:
+                codes, c = np.frombuffer(b["codes"], np.uint32), np.array(b["c"], np.float64)
+                cls = np.where(c > 0, np.array([class_of(w, classes) for w in b["words"]], np.int64), classes)
+                own = np.array(b["sizes"])
+                at = np.r_[0, own.cumsum()[:-1]]
                 within = np.where(c > 0, np.log10((c + 0.5) / np.maximum(tokens_of[cls] + 0.5 * kinds_of[cls], 0.5)), 0.0)
-                begins = np.r_[0, sizes.cumsum()[:-1]]
-                sums = lambda x: np.add.reduceat(x[codes], begins)
-                score, seq = np.zeros(len(sizes)), cls[codes]
-                for own in batches_of(sizes):
-                    score[own] = forward(model, _padded(seq, begins[own], sizes[own]), sizes[own]) / LN10
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b["doc_ids"], pa.int64()), pa.array(b["held"], pa.bool_()), pa.array(sizes.astype(np.int64)),
-                        pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(sizes), n)), pa.array(sums(base)), pa.array(score + sums(within)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                bases.append(np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[codes], at))
+                withins.append(np.add.reduceat(within[codes], at))
+                hits.append(np.add.reduceat((c > 0).astype(np.int64)[codes], at))
+                seqs.append(cls.astype(np.int32)[codes])
+            score, seq, begins = np.concatenate(withins), np.concatenate(seqs), np.r_[0, sizes.cumsum()[:-1]]
+            for own in batches_of(sizes):
+                score[own] += forward(model, _padded(seq, begins[own], sizes[own]), sizes[own]) / LN10
+            arrays = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes.astype(np.int64)), pa.array(np.concatenate(hits)), pa.array(np.full(len(sizes), n)), pa.array(np.concatenate(bases)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
