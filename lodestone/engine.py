@@ -57,8 +57,14 @@ class Engine:
         return self
 
     def add_parquet(self, name: str, path: str, primary_key: list[str], **options) -> Engine:
-        df = load(self.spark, path)
-        return self.add(table_of(name, df, primary_key, **options), df)
+        """A Parquet table; its schema is read when it is first asked for."""
+
+        def read() -> None:
+            df = load(self.spark, path)
+            self.add(table_of(name, df, primary_key, **options), df)
+
+        self.catalog.loaders[name] = read
+        return self
 
     def add_view(self, name: str, table: str, predicate: Predicate) -> Engine:
         self.catalog.add_view(View(name, table, predicate))

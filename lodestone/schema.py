@@ -153,6 +153,7 @@ class View:
 class Catalog:
     tables: dict[str, TableDef] = field(default_factory=dict)
     views: dict[str, View] = field(default_factory=dict)
+    loaders: dict[str, Any] = field(default_factory=dict)  # tables that are looked at when they are first asked for
 
     def add(self, table: TableDef) -> TableDef:
         if table.name in self.tables or table.name in self.views:
@@ -167,12 +168,15 @@ class Catalog:
         return table
 
     def add_view(self, view: View) -> View:
-        if view.name in self.tables or view.name in self.views or view.table not in self.tables:
-            raise SchemaError(f"view {view.name}: its name is taken or its table unknown")
+        if view.name in self.tables or view.name in self.views:
+            raise SchemaError(f"view {view.name}: its name is taken")
+        self.table(view.table)
         self.views[view.name] = view
         return view
 
     def table(self, name: str) -> TableDef:
+        if name not in self.tables and name in self.loaders:
+            self.loaders.pop(name)()
         if name not in self.tables:
             raise NoSuchColumn(f"there is no table {name}")
         return self.tables[name]

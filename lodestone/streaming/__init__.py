@@ -29,7 +29,7 @@ def tumbling(df: DataFrame, time: str, seconds: int, late: str, g: Grouping) ->
     bucket is final once the watermark, ``late`` behind, has passed it."""
     if g.order or g.most is not None or g.skip or any(a.function == "count_distinct" for a in g.aggregates):
         raise Refused("a stream's groups have no order, limit or exact distinct count")
-    marked = df.withWatermark(time, late)
+    marked = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     scope = lower.scope_of(df.drop(time))
     bucket = F.window(time, f"{seconds} seconds")
     out = marked.groupBy(bucket.alias("_w"), *[scope.column(k).alias(k) for k in g.keys]).agg(*[aggregate(a, scope).alias(a.name) for a in g.aggregates])
