@@ -51,7 +51,7 @@ BLOCK_BYTES = 4 << 20
 SEGMENT = 128
 #: Tokens that one batch of sequences may hold, and tokens of the blocks whose
 #: sequences are grouped together: steps cost little more for many sequences.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 19
 POOL_TOKENS = 1 << 22
 END = b"\n"
 LN10 = float(np.log(10))
@@ -142,24 +142,70 @@ def _padded(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndar
     return codes[np.minimum(at, len(codes) - 1)]
 
 
+def _live(sizes: np.ndarray, length: int) -> np.ndarray:
+    """How many sequences are longer than each t."""
+    return np.searchsorted(-sizes, -np.arange(length), side="left")
+
+
 def forward(model: Model, seqs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural logs of the likelihoods of class sequences (time x sequence)."""
-    live = np.searchsorted(-sizes, -np.arange(len(seqs)), side="left")  # sequences longer than t
     out, alpha = np.zeros(len(sizes)), model.start[None, :].repeat(len(sizes), 0)
+    live = _live(sizes, len(seqs))
+    for at in range(0, len(seqs), SEGMENT):
+        emitted = model.emits[seqs[at : at + SEGMENT]]
+        scales = np.ones(emitted.shape[:2])
+        for t in range(len(emitted)):
+            n = live[at + t]
+            alpha = (alpha[:n] @ model.moves if at + t else alpha[:n]) * emitted[t, :n]
+            scale = scales[t, :n] = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+        out += np.log(scales).sum(axis=0)
+    return out
+
+
+def _expect_whole(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """``expect`` with all forward and backward values kept: what is not part
+    of the recursions is then done for all tokens at once."""
+    starts, moves, emits = add
+    length, k, live = len(seqs), len(model.start), _live(sizes, len(seqs))
+    emitted = model.emits[seqs]
+    alphas, scales = np.zeros(emitted.shape), np.ones(emitted.shape[:2])
+    alpha = model.start[None, :].repeat(len(sizes), 0)
     for t, n in enumerate(live):
-        alpha = (alpha[:n] @ model.moves if t else alpha[:n]) * model.emits[seqs[t, :n]]
-        scale = alpha.sum(axis=1)
-        out[:n] += np.log(scale)
+        alpha = (alpha[:n] @ model.moves if t else alpha[:n]) * emitted[t, :n]
+        scale = scales[t, :n] = alpha.sum(axis=1)
         alpha /= scale[:, None]
-    return out
+        alphas[t, :n] = alpha
+    emitted /= scales[:, :, None]
+    betas, back = np.zeros(emitted.shape), model.moves.T
+    beta = np.ones((0, k))
+    for t in range(length - 1, -1, -1):
+        n = live[t]
+        if len(beta) < n:
+            beta = np.concatenate([beta, np.ones((n - len(beta), k))])
+        betas[t, :n] = beta
+        emitted[t, :n] *= beta
+        beta = emitted[t, :n] @ back
+    # cells beyond a sequence's end have forward and backward values of 0
+    after = np.where((betas[1:] > 0).any(axis=2)[:, :, None], emitted[1:], 0.0)
+    moves += model.moves * (alphas[:-1].reshape(-1, k).T @ after.reshape(-1, k))
+    alphas *= betas
+    starts += alphas[0].sum(axis=0)
+    flat, gamma = seqs.reshape(-1), alphas.reshape(-1, k)
+    for j in range(k):
+        emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emits))
+    return float(np.log(scales).sum())
 
 
 def expect(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Add the expected counts (starts, moves, emits) of the sequences, and
-    return the log-likelihood. Forward values are kept at segment starts."""
+    return the log-likelihood. For more tokens than a batch has, a very long
+    text, forward values are kept at segment starts alone."""
+    if seqs.size <= BATCH_TOKENS:
+        return _expect_whole(model, seqs, sizes, add)
     starts, moves, emits = add
     length, n_all, k = len(seqs), len(sizes), len(model.start)
-    live = np.searchsorted(-sizes, -np.arange(length), side="left")
+    live = _live(sizes, length)
     total = 0.0
 
     def step(alpha: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:

@@ -84,9 +84,11 @@ def test_forward_is_the_sum_over_all_state_sequences():
         assert value == pytest.approx(math.log(total))
 
 
-def test_expected_counts_match_brute_force(monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_expected_counts_match_brute_force(monkeypatch, most):
     from itertools import product
 
+    monkeypatch.setattr(hidden_markov, "BATCH_TOKENS", most)
     monkeypatch.setattr(hidden_markov, "SEGMENT", 2)
     rng = np.random.default_rng(1)
     m = hidden_markov.Model(rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet([1] * 4, 2).T)
