@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text.
 
-Grades are ordered: 0 (bad quality), 1 (sound but toxic), 2 (good). One weight
+Grades are ordered: 0 (toxic), 1 (bad quality), 2 (good). One weight
 vector over hashed features is shared by all grades; ordered thresholds cut
 its score, P(grade <= j) = logistic(threshold[j] - score). A document gets its
 expected grade and its tail probability P(grade >= at_least), by which it is
@@ -56,7 +56,7 @@ def features(text: str | None, bits: int = BITS) -> list[int]:
 
 
 def grade(quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    return np.where(quality == 0, 0, np.where(toxic > 0, 1, 2))
+    return np.where(toxic > 0, 0, np.where(quality == 0, 1, 2))
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ class OrdinalModel:
         return _logistic(self.thresholds[None, :] - scores[:, None])
 
     @staticmethod
-    def fit(rows: list[list[int]], grades: np.ndarray, bits: int = BITS, steps: int = 150, rate: float = 0.3, ridge: float = 1e-4, least_rows: int = 5, telling: float = 10.0) -> OrdinalModel:
+    def fit(rows: list[list[int]], grades: np.ndarray, bits: int = BITS, steps: int = 150, rate: float = 0.3, ridge: float = 1e-4, least_rows: int = 5, telling: float = 40.0) -> OrdinalModel:
         """Fit by adaptive full gradients. Features in fewer than
         ``least_rows`` rows, or spread over the grades as chance would (by
         chi-squared), keep weight 0."""
