@@ -16,6 +16,16 @@ entries are compared in pieces, each with itself and each later one, so that
 no task meets an unbounded group. A shard returns a spanning forest of its
 links, never all pairs.
 
+With ``similar`` a link also needs that Jaccard similarity of the two sets of
+shingles. Similarity 0.8 is about 10 of 64 bits and often 16, a radius at which
+the tree prunes next to nothing. Candidates are then fingerprints within
+``distance`` that share a bucket, one of ``BANDS`` keys of two min-wise shingles
+each (of pairs at 0.8, all but 0.36 ** 8 = 0.03 % share one), and sets of
+shingle hashes are compared exactly. In a bucket a fingerprint is compared with
+all others, and its ``NEAREST`` nearest and the bucket's first within distance
+are candidates, so that a large group of near copies is linked through
+neighbours, not pair by pair.
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, linked like any other; rows with equal or null ids each keep
 a row (the component's id is the least id that is not null, null if there is
@@ -42,38 +52,87 @@ LEAF = 1024
 PIECE = 8192
 MOST_LEVELS = 20
 DISTANCE = 2
+SHINGLE = 3
+BANDS = 8
+NEAREST = 8
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the XXH64 of word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; a shorter text is one."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *(e + 1 for e in ends)]
     h, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, n)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """64-bit SimHash of the XXH64 of word shingles, repeats included."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+
+
+_MIX = np.random.default_rng(3).integers(1, 1 << 63, (3, 2 * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the buckets that a set of shingle hashes stands in."""
+    least = np.full(2 * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 14):
+        x = (hashes[None, at : at + (1 << 14)] ^ _MIX[0]) * _MIX[1]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * _MIX[2]).min(axis=1))
+    return (least[::2] ^ (least[1::2] >> np.uint64(7))) * _MIX[2, :BANDS, 0] + np.arange(BANDS, dtype=np.uint64)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            fps, keys, sets = [], [], []
+            for t in batch.column("text").to_pylist():
+                hashes = shingle_hashes(t, shingle)
+                own = np.unique(hashes)
+                fps.append(simhash(hashes) if len(hashes) else 0)
+                keys.append(band_keys(own).view(np.int64) if len(own) else [])
+                sets.append(np.unique(own.astype(np.uint32)).tobytes())
+            arrays = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "keys", "shingles"])
+
+    return run
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """Fingerprint, bucket keys and set of 32-bit shingle hashes."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(shingle), "doc_id bigint, fp bigint, keys array<bigint>, shingles binary")
 
 
 class VantageTree:
@@ -179,12 +238,16 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     dealt = fps.select("fp").mapInArrow(_deal(tree, distance), "leaf bigint, fp bigint, home boolean")
     # a row for each shard that is too large, of which there are 2**levels at the most
     large = fps.select("fp").mapInArrow(_homes(tree), "leaf bigint").groupBy("leaf").count().where(F.col("count") > PIECE)
+    return _pieced(dealt, large).groupBy("leaf", "piece").applyInArrow(_compare(distance), "a bigint, b bigint")
+
+
+def _pieced(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """Cut the ``large`` leaves into pieces, each beside every later one."""
     large = large.select("leaf", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     dealt = dealt.join(F.broadcast(large), "leaf", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.when(F.col("home"), own).otherwise(F.lit(0)))
     dealt = dealt.select("leaf", "fp", "home", "own", F.explode(F.sequence("own", F.col("pieces") - 1)).alias("piece"))
-    dealt = dealt.select("leaf", "piece", "fp", (F.col("home") & (F.col("own") == F.col("piece"))).alias("home"))
-    return dealt.groupBy("leaf", "piece").applyInArrow(_compare(distance), "a bigint, b bigint")
+    return dealt.select("leaf", "piece", "fp", (F.col("home") & (F.col("own") == F.col("piece"))).alias("home"))
 
 
 def _homes(tree: VantageTree):
@@ -195,25 +258,85 @@ def _homes(tree: VantageTree):
     return run
 
 
-def components_of(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_pairs(members: np.ndarray, others: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a bucket: of each value the nearest members within
+    distance, and the first."""
+    x = np.concatenate([members, others])
+    step = max(1, (1 << 21) // max(1, len(members)))
+    for at in range(0, len(x), step):
+        apart = np.bitwise_count(x[at : at + step, None] ^ members[None, :])
+        own = np.arange(at, min(at + step, len(members)))
+        apart[own - at, own] = 65
+        most = min(NEAREST, len(members))
+        near = np.argpartition(apart, most - 1, axis=1)[:, :most]
+        near = np.c_[near, (apart <= distance).argmax(axis=1)]
+        row, k = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
+        yield x[at + row], members[near[row, k]]
+
+
+def _candidates(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column("x"):
+                fp, home = (v.to_numpy(zero_copy_only=False) for v in group.values.flatten())
+                fp = fp.view(np.uint64)
+                if home.any():
+                    for a, b in near_pairs(np.sort(fp[home]), np.sort(fp[~home]), distance):
+                        a, b = a.view(np.int64), b.view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return run
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _confirm(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [jaccard(x.as_py(), y.as_py()) >= similar for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return run
+
+
+def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
+    """Links (a, b) of ``sketches`` within distance whose sets of shingles have
+    at least the Jaccard similarity ``similar``."""
+    dealt = rows.select("fp", F.explode("keys").alias("leaf")).distinct()
+    sizes = dealt.groupBy("leaf").count().where("count > 1")
+    shared = Stored(dealt.join(sizes, "leaf").withColumn("home", F.lit(True)), "buckets").df
+    large = shared.where(F.col("count") > PIECE).select("leaf", "count").distinct()
+    groups = _pieced(shared, large).groupBy("leaf", "piece").agg(F.collect_list(F.struct("fp", "home")).alias("x")).select("x")
+    pairs = Stored(groups.mapInArrow(_candidates(distance), "a bigint, b bigint").distinct(), "candidates").df
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = Stored(rows.select("fp", "shingles").join(wanted, "fp").groupBy("fp").agg(F.min("shingles").alias("set")), "shingle-sets").df
+    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(_confirm(similar), "a bigint, b bigint")
+
+
+def components_of(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every document."""
-    rows = Stored(fingerprints(docs), "fingerprints").df
+    rows = Stored(fingerprints(docs, shingle) if similar is None else sketches(docs, shingle), "fingerprints").df
     firsts = Stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-distinct").df
-    labels = components(links(firsts, firsts.count(), distance))
+    labels = components(links(firsts, firsts.count(), distance) if similar is None else similar_links(rows, distance, similar))
     named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of = named.join(least, "label").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return components_of(docs, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """One document of each component, the one of the least id, with all its
     columns. Documents without an id cannot be named and all stay."""
-    kept = components_of(docs, distance).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = components_of(docs, distance, shingle, similar).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs).alias("row"))
     one = rows.join(kept, "doc_id").dropDuplicates(["doc_id"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
