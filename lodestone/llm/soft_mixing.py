@@ -2,17 +2,24 @@
 
 A labelled table names the domain of some documents. A naive Bayes classifier
 over the presence and absence of the words that tell domains apart gives every document its posterior over
-domains. Document rates w are then fitted by projected gradient descent on
+domains. Document rates w are then fitted, by projected gradients, to the least of
 
     1/2 sum_k ((sum_d w_d n_d p_dk - T_k) / S)^2
         + ridge/2 sum_d (n_d / S) (w_d - 1)^2,    0 <= w <= max_rate
 
 with n_d tokens, posteriors p_dk, target totals T_k and S tokens in all. In the
 metric that weighs a document by its tokens the gradient of w_d is
-sum_k p_dk r_k + ridge (w_d - 1), r the residuals: one number a domain. So each
-round is one aggregate of one row, and a document's rate is a plain expression
-in its posteriors and the residuals of the rounds so far. No rates are stored,
-no lineage grows, and all work is linear in the documents.
+sum_k p_dk r_k + ridge (w_d - 1), r the residuals: one number a domain. Where
+the projected gradient is zero, w_d = clip(1 - sum_k p_dk r_k / ridge), so that
+the fit is that of a force r_k / ridge for each domain. Plain gradient steps
+close a rare domain's gap by its share a round, hundreds of rounds for a share
+of 0.01; the forces are therefore found by Newton steps on the dual problem,
+concave in one number a domain, until what is left of every domain is small
+against its target. Each round is one aggregate of one row, and a document's
+rate is a plain expression in its posteriors. No rates are stored, no lineage
+grows, and all work is linear in the documents. The ridge is small against the
+rarest target, so that it doesn't hold totals off. ``Rates.totals`` has totals
+beside their targets; targets out of reach (``max_rate``) stay apart there.
 
 Only DataFrame operations are used. The classifier counts a bounded sample of
 labelled rows (``max_labelled``) and keeps the ``max_words`` most telling
@@ -26,14 +33,21 @@ an empty table gives an empty result; extra columns are carried by ``apply``.
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, labelled_sample, once, whole_row
 
+log = logging.getLogger(__name__)
+
+#: Newton steps at the most; a fit takes a few.
+MOST_ROUNDS = 60
+
 #: Splits words, and words from the marks behind them.
 PIECES = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
 
@@ -105,8 +119,15 @@ class Rates:
     ridge: float
     max_rate: float
     residuals: list[list[float]] = field(default_factory=list)
+    forces: list[float] = field(default_factory=list)
+    totals: dict[str, tuple[float, float]] = field(default_factory=dict)  # domain: tokens, target
 
     def column(self, posterior: Column) -> Column:
+        if self.forces:
+            w = F.lit(1.0)
+            for k, x in enumerate(self.forces):
+                w = w - F.get(posterior, k) * x
+            return F.greatest(F.lit(0.0), F.least(F.lit(self.max_rate), w))
         w = F.lit(1.0)
         for r in self.residuals:
             pull = F.lit(0.0)
@@ -122,32 +143,70 @@ def with_posterior(docs: DataFrame, model: DomainModel, text: str = "text") -> D
     return once(out.withColumn("_n", F.size("_w").cast("long")), "_p", model.posterior(F.col("_w"))).drop("_w")
 
 
-def fit_rates(soft: DataFrame, model: DomainModel, targets: dict[str, float], anchor: str | None = None, max_rate: float = 4.0, ridge: float = 0.01, rounds: int = 40, tolerance: float = 1e-4) -> Rates:
+def fit_rates(soft: DataFrame, model: DomainModel, targets: dict[str, float], anchor: str | None = None, max_rate: float = 4.0, ridge: float | None = None, rounds: int | None = None, tolerance: float = 1e-3) -> Rates:
     """Fit on ``soft``: ``_n`` and ``_p`` of all documents.
 
     Targets are shares; a domain without one gets 0. The total is that of the
-    documents, or, with an ``anchor``, such that this domain keeps its own."""
-    rates = Rates(1 / (1 + ridge), ridge, max_rate)
+    documents, or, with an ``anchor``, such that this domain keeps its own. The
+    fit ends when no domain's gradient is more than ``tolerance`` of its target.
+    With ``rounds``, so many plain gradient steps are made instead."""
     k, share = len(model.domains), [targets.get(d, 0.0) for d in model.domains]
+    rarest = min((x / sum(share) for x in share if x), default=1.0)
+    if ridge is None:
+        ridge = 0.01 if rounds else 1e-3 * rarest
+    rates = Rates(1 / (1 + ridge), ridge, max_rate)
     if not k or not sum(share):
         return rates
     share = [s / sum(share) for s in share]
-    sums = lambda w: soft.agg(F.sum("_n").alias("s"), *[F.sum(w * F.col("_n") * F.get("_p", i)).alias(f"t{i}") for i in range(k)]).first()
-    goal = before = None
-    for _ in range(rounds):
-        got = sums(rates.column(F.col("_p")))
-        s = got["s"] or 0
-        if not s:
-            return rates
-        if goal is None:
-            at = model.domains.index(anchor) if anchor in model.domains else None
-            total = s if at is None or not share[at] else got[f"t{at}"] / share[at]
-            goal = [x * total for x in share]
-        now = [(got[f"t{i}"] - goal[i]) / s for i in range(k)]
-        if before and max(abs(a - b) for a, b in zip(now, before, strict=True)) < tolerance:
+    n = F.col("_n")
+    tokens = lambda w: [F.sum(w * n * F.get("_p", i)).alias(f"t{i}") for i in range(k)]
+    first = soft.agg(F.sum("_n").alias("s"), *tokens(F.lit(1.0))).first()
+    s = first["s"] or 0
+    if not s:
+        return rates
+    at = model.domains.index(anchor) if anchor in model.domains else None
+    total = s if at is None or not share[at] else first[f"t{at}"] / share[at]
+    goal = np.array(share) * total
+    if rounds:
+        for _ in range(rounds):
+            got = soft.agg(*tokens(rates.column(F.col("_p")))).first()
+            now = [(got[f"t{i}"] - goal[i]) / s for i in range(k)]
+            if rates.residuals and max(abs(a - b) for a, b in zip(now, rates.residuals[-1], strict=True)) < tolerance:
+                break
+            rates.residuals.append(now)
+        return rates
+
+    def dual(force: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature of the dual problem, and totals."""
+        w = Rates(1.0, ridge, max_rate, forces=force.tolist()).column(F.col("_p"))
+        pull = sum((F.get("_p", i) * float(x) for i, x in enumerate(force)), F.lit(0.0))
+        free = ((w > 0) & (w < max_rate)).cast("double")
+        bent = [F.sum(free * n * F.get("_p", i) * F.get("_p", j)).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        got = soft.agg(F.sum(n * ((w - 1) * (w - 1) / 2 + pull * w)).alias("v"), *tokens(w), *bent).first()
+        t = np.array([got[f"t{i}"] for i in range(k)])
+        h = np.array([[got[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / s
+        return got["v"] / s - force @ goal / s - ridge / 2 * force @ force, (t - goal) / s - ridge * force, h + ridge * np.eye(k), t
+
+    aim = np.maximum(goal, rarest * total) / s
+    force = np.zeros(k)
+    value, gradient, curve, t = dual(force)
+    for _ in range(MOST_ROUNDS):
+        if (np.abs(gradient) <= tolerance * aim).all():
+            break
+        way, step = np.linalg.solve(curve, gradient), 1.0
+        while step > 1e-9:
+            new = dual(force + step * way)
+            if new[0] >= value + 1e-4 * step * (gradient @ way):
+                break
+            step /= 4
+        else:
             break
-        rates.residuals.append(now)
-        before = now
+        force = force + step * way
+        value, gradient, curve, t = new
+    rates.forces = force.tolist()
+    rates.totals = {d: (float(t[i]), float(goal[i])) for i, d in enumerate(model.domains)}
+    left = np.abs(gradient) / aim
+    log.log(logging.WARNING if left.max() > tolerance else logging.INFO, "tokens and targets by domain: %s; gradient left, as a share of targets: %s", rates.totals, left.tolist())
     return rates
 
 

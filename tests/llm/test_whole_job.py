@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import simhash_vptree
+from lodestone.llm import simhash_vptree, soft_mixing
 
 
 def edited(words, changes, rng):
@@ -46,3 +46,29 @@ def test_near_dedup_of_one_large_group(monkeypatch, spark, piece):
     base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
     docs = spark.createDataFrame([(i, " ".join(edited(base, 2, rng))) for i in range(300)] + [(None, "x y"), (900, ""), (901, None)], "doc_id bigint, text string")
     assert Counter(r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()) == Counter([0, None, 900])
+
+
+@pytest.mark.parametrize("shares,targets,options", [
+    ([0.98, 0.01, 0.01], [0.94, 0.03, 0.03], {}), ([0.90, 0.05, 0.05], [0.98, 0.01, 0.01], {"anchor": "a", "max_rate": 1.0}),
+])
+@pytest.mark.parametrize("sure", [1.0, 0.99])
+def test_rare_domains_reach_their_targets(spark, shares, targets, options, sure):
+    rows = [(round(10000 * s), [sure if i == k else (1 - sure) / 2 for i in range(3)]) for k, s in enumerate(shares)]
+    soft = spark.createDataFrame(rows, "_n bigint, _p array<double>")
+    rates = soft_mixing.fit_rates(soft, soft_mixing.DomainModel(["a", "b", "c"], shares), dict(zip("abc", targets, strict=True)), **options)
+    w = np.array([r[0] for r in soft.select(rates.column(soft["_p"])).collect()])
+    n, p = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = (w * n) @ p
+    assert got / got.sum() == pytest.approx(targets, rel=0.01)
+    assert [rates.totals[d][0] for d in "abc"] == pytest.approx(got)
+
+
+def test_rates_are_the_least_of_the_problem(spark):
+    rng = np.random.default_rng(1)
+    n, p = rng.integers(1, 50, 80), rng.dirichlet([0.3] * 3, 80)
+    soft = spark.createDataFrame([(int(a), list(map(float, b))) for a, b in zip(n, p, strict=True)], "_n bigint, _p array<double>")
+    rates = soft_mixing.fit_rates(soft, soft_mixing.DomainModel(["a", "b", "c"], []), {"a": 0.9, "b": 0.08, "c": 0.02}, max_rate=2.0, ridge=0.01, tolerance=1e-9)
+    w, s, goal = np.ones(80), n.sum(), np.array([0.9, 0.08, 0.02]) * n.sum()
+    for _ in range(20000):
+        w = np.clip(w - (p @ (((w * n) @ p - goal) / s) + 0.01 * (w - 1)), 0, 2.0)
+    assert np.allclose([x[0] for x in soft.select(rates.column(soft["_p"])).collect()], w, atol=1e-6)
