@@ -12,8 +12,8 @@ the same document within ``scope`` code points:
 Only DataFrame operations are used. Matches leave the map stage as lengths of
 matches and of the gaps between them; a running sum over a document's matches
 gives the places. The interval join is an equi-join on document and scope bin,
-each span standing in its own bin and its neighbours, followed by the exact
-distance, so its work is linear in the spans. The text itself is never
+each weak span standing in all bins from its start to its end and each part
+also in the bins beside its own, followed by the exact distance, so its work is linear in the spans. The text itself is never
 shuffled.
 
 Defined results: a null text counts as empty; a document without spans has
@@ -109,7 +109,7 @@ def _linked(spans: DataFrame, scope: int) -> DataFrame:
     near = (F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope)
     has = lambda r: F.max((F.col("role") == r).cast("int"))
     met = (
-        weak.withColumn("bin", F.expr(f"start div {scope}")).join(parts, ["rid", "bin"]).where(near)
+        weak.withColumn("bin", F.explode(F.expr(f"sequence(start div {scope}, end div {scope})"))).join(parts, ["rid", "bin"]).where(near)
         .groupBy("rid", "kind", "start", "end").agg(has("id").alias("ids"), has("secret").alias("secrets"))
     )
     need = (

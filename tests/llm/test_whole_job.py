@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import simhash_vptree, soft_mixing
+from lodestone.llm import secret_scan, simhash_vptree, soft_mixing
 
 
 def edited(words, changes, rng):
@@ -72,3 +72,23 @@ def test_rates_are_the_least_of_the_problem(spark):
     for _ in range(20000):
         w = np.clip(w - (p @ (((w * n) @ p - goal) / s) + 0.01 * (w - 1)), 0, 2.0)
     assert np.allclose([x[0] for x in soft.select(rates.column(soft["_p"])).collect()], w, atol=1e-6)
+
+
+def test_weak_parts_meet_at_every_distance(spark):
+    rng = np.random.default_rng(2)
+    secret, weak_id = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12", "ASIAABCDEFGHIJKLMNOP"
+    want, texts = Counter(), []
+    for k in range(400):
+        size = int(rng.integers(1, 1500))
+        lead, gap = " " * int(rng.integers(0, 700)), int(rng.integers(1, 620))
+        url = "https://h.x/" + "y-" * (size // 2)
+        weak = url if k % 2 else secret
+        parts = [secret, weak_id] if k % 2 else [weak_id]
+        if k % 4 < 2:
+            text, near = lead + weak + " " * gap + " ".join(parts), gap + (41 if k % 2 else 0)
+        else:
+            text, near = lead + " ".join(parts) + " " * gap + weak, gap + (21 if k % 2 else 0)
+        texts.append((k, text))
+        want[k] = near <= 300
+    found = secret_scan.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: ("endpoint" if r.doc_id % 2 else "wsecret") in r.spans for r in found} == dict(want)
