@@ -13,7 +13,8 @@ tasks, while counts are exact over the whole corpus and stay distributed.
 
 Training is Baum-Welch: each pass over the corpus computes expected counts of
 states, transitions and classes by the scaled forward and backward recursions,
-sums them across partitions, one row a class, and re-estimates. Scoring is the
+sums them across partitions, one row a class, and re-estimates, until a pass
+raises the log-likelihood by less than ``GAIN`` of it. Scoring is the
 scaled forward recursion: the exact likelihood of the whole text, summed over
 all state sequences.
 
@@ -46,7 +47,10 @@ from .common import Stored, release, slices, small_batches
 
 STATES = 6
 CLASSES = 1 << 14
-PASSES = 5
+#: Passes at the most and at the least, and the relative gain that ends training.
+PASSES = 40
+LEAST_PASSES = 6
+GAIN = 1e-3
 BLOCK_BYTES = 4 << 20
 SEGMENT = 128
 #: Tokens that one batch of sequences may hold, and tokens of the blocks whose
@@ -305,8 +309,9 @@ class Scorer:
     likelihoods: list[float]
 
 
-def fit(docs: DataFrame, held: str = "held", states: int = STATES, classes: int = CLASSES, passes: int = PASSES, smoothing: float = 0.1) -> Scorer:
-    """Count and train over all documents whose ``held`` is not true.
+def fit(docs: DataFrame, held: str = "held", states: int = STATES, classes: int = CLASSES, passes: int = PASSES, smoothing: float = 0.1, gain: float = GAIN) -> Scorer:
+    """Count and train over all documents whose ``held`` is not true, for
+    ``passes`` at the most.
 
     ``smoothing``: the weight of the class shares, in tokens of a mean state."""
     spark = docs.sparkSession
@@ -339,6 +344,8 @@ def fit(docs: DataFrame, held: str = "held", states: int = STATES, classes: int
         at = {int(x): sums[i] for i, x in enumerate(key) if x < 0}
         likelihoods.append(float(at[-2 - states][0]))
         model = model.learn(at[-1], np.stack([at[-2 - i] for i in range(states)]), emits, base, smoothing * n / states)
+        if len(likelihoods) >= LEAST_PASSES and likelihoods[-1] - likelihoods[-2] < gain * abs(likelihoods[-2]):
+            break
     return Scorer(model, classes, n, kinds, c, v, blocks, counts, likelihoods)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import secret_scan, simhash_vptree, soft_mixing
+from lodestone.llm import hidden_markov, secret_scan, simhash_vptree, soft_mixing
 
 
 def edited(words, changes, rng):
@@ -92,3 +92,12 @@ def test_weak_parts_meet_at_every_distance(spark):
         want[k] = near <= 300
     found = secret_scan.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {r.doc_id: ("endpoint" if r.doc_id % 2 else "wsecret") in r.spans for r in found} == dict(want)
+
+
+def test_training_goes_on_until_the_likelihood_settles(spark):
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 30, 60))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").selectExpr("*", "false AS held")
+    told = hidden_markov.fit(docs, states=2, classes=256).likelihoods
+    gains = [(b - a) / abs(a) for a, b in zip(told, told[1:], strict=False)]
+    assert 6 <= len(told) < hidden_markov.PASSES and gains[-1] < hidden_markov.GAIN and all(g >= hidden_markov.GAIN for g in gains[5:-1])
