@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices, small_batches, whole_row
 
 LEAST = 5
 COVERAGE = 0.5
@@ -212,20 +212,21 @@ def _seeds(least: int, key: str):
 
 def _find_by_join(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
     """Seeds meet in a shuffle; candidate pairs then fetch their texts. Rows
-    are told apart by id and text, and pairs of equal rows are found once."""
+    are told apart by id and text, ``doc_key``, and pairs of equal rows are
+    found once."""
     keyed = lambda df, id_, key: df.select(F.xxhash64(id_, "text").alias(key), F.col(id_).cast("long").alias(id_), "text")
     d, i = keyed(docs, "doc_id", "doc_key"), keyed(items, "item_id", "item_key")
     ds = d.select("doc_key", "text").dropDuplicates(["doc_key"]).mapInArrow(_seeds(least, "doc_key"), "doc_key bigint, seed binary")
     is_ = i.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(_seeds(least, "item_key"), "item_key bigint, seed binary")
     pairs = ds.join(is_, "seed").select("doc_key", "item_key").distinct()
-    met = pairs.join(d, "doc_key").join(i.withColumnRenamed("text", "item_text"), "item_key").select("doc_id", "text", "item_id", "item_text")
+    met = pairs.join(d, "doc_key").join(i.withColumnRenamed("text", "item_text"), "item_key").select("doc_key", "doc_id", "text", "item_id", "item_text")
 
     def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [{"doc_id": r["doc_id"], **x} for r in batch.to_pylist() for x in Benchmark([(r["item_id"], r["item_text"])], least, coverage).search(r["text"])]
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows = [{"doc_key": r["doc_key"], "doc_id": r["doc_id"], **x} for r in batch.to_pylist() for x in Benchmark([(r["item_id"], r["item_text"])], least, coverage).search(r["text"])]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW.insert(0, pa.field("doc_key", pa.int64())))
 
-    return met.mapInArrow(tile_pairs, PAIRS)
+    return met.mapInArrow(tile_pairs, "doc_key bigint, " + PAIRS)
 
 
 def find(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = COVERAGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -233,7 +234,7 @@ def find(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
     small_batches(docs.sparkSession)
     bench = _small(items, least, coverage, broadcast_words)
     if bench is None:
-        return _find_by_join(docs, items, least, coverage)
+        return _find_by_join(docs, items, least, coverage).drop("doc_key")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(bench), PAIRS)
 
 
@@ -242,8 +243,9 @@ def clean(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float
     small_batches(docs.sparkSession)
     bench = _small(items, least, coverage, broadcast_words)
     if bench is None:
-        found = _find_by_join(docs, items, least, coverage).select("doc_id").distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+        found = _find_by_join(docs, items, least, coverage).select("doc_key").distinct()
+        rows = docs.select(whole_row(docs).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
+        return rows.join(found, "doc_key", "left_anti").select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import hidden_markov, secret_scan, simhash_vptree, soft_mixing
+from lodestone.llm import hidden_markov, secret_scan, simhash_vptree, soft_mixing, string_tiling
 
 
 def edited(words, changes, rng):
@@ -101,3 +101,12 @@ def test_training_goes_on_until_the_likelihood_settles(spark):
     told = hidden_markov.fit(docs, states=2, classes=256).likelihoods
     gains = [(b - a) / abs(a) for a, b in zip(told, told[1:], strict=False)]
     assert 6 <= len(told) < hidden_markov.PASSES and gains[-1] < hidden_markov.GAIN and all(g >= hidden_markov.GAIN for g in gains[5:-1])
+
+
+@pytest.mark.parametrize("most", [string_tiling.BROADCAST_WORDS, 1])
+def test_only_rows_that_hold_an_item_go(spark, most):
+    item = " ".join(f"i{x}" for x in range(40))
+    docs = spark.createDataFrame([(1, item), (1, "clean text"), (None, "head " + item), (None, "also clean"), (2, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = string_tiling.clean(docs, items, broadcast_words=most)
+    assert Counter(map(tuple, left.collect())) == Counter([(1, "clean text"), (None, "also clean"), (2, None)]) and left.columns == docs.columns
