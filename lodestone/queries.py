@@ -210,6 +210,12 @@ def real_arithmetic(e):
     return rounded(e.query(q.select("l_orderkey", "net", "q", "nan")), "net", to=4)
 
 
+@query("SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 4) AS net, l_quantity / 4 AS q, CAST('nan' AS DOUBLE) AS nan FROM lineitem")
+def real_arithmetic_whole(e):
+    q = Query("lineitem").compute("net", S.col("l_extendedprice") * (S.lit(1) - S.col("l_discount"))).compute("q", S.col("l_quantity") / 4).compute("nan", S.col("l_quantity") / 0.0)
+    return rounded(e.query(q.select("l_orderkey", "net", "q", "nan")), "net", to=4)
+
+
 @query("""SELECT c_custkey, CAST(u + 150 AS BIGINT) AS plus, CAST(u * 3 AS BIGINT) AS times, CAST(trunc(u / 7.0) AS BIGINT) AS part
           FROM (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS u FROM customer)""")
 def decimal_arithmetic(e):
@@ -324,6 +330,36 @@ def join_on_residual(e):
     return e.join(join(_LEFT, _RIGHT, [("c_custkey", "o_custkey")], "left", having=P.cmp("c_nationkey", "<", 10)))
 
 
+# the same joins over the whole of customer and orders
+_CUSTOMERS, _ORDERS = Query("customer").select("c_custkey", "c_nationkey"), Query("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+_WHOLE_SQL = "SELECT c_custkey, c_nationkey, o_orderkey, o_custkey, o_totalprice FROM customer {} JOIN orders ON c_custkey = o_custkey{}"
+
+
+@query(_WHOLE_SQL.format("", ""))
+def join_inner_whole(e):
+    return e.join(join(_CUSTOMERS, _ORDERS, [("c_custkey", "o_custkey")]))
+
+
+@query(_WHOLE_SQL.format("LEFT", ""))
+def join_left_whole(e):
+    return e.join(join(_CUSTOMERS, _ORDERS, [("c_custkey", "o_custkey")], "left", using="hash"))
+
+
+@query(_WHOLE_SQL.format("RIGHT", ""))
+def join_right_whole(e):
+    return e.join(join(_CUSTOMERS, _ORDERS, [("c_custkey", "o_custkey")], "right", using="merge"))
+
+
+@query(_WHOLE_SQL.format("FULL", ""))
+def join_full_whole(e):
+    return e.join(join(_CUSTOMERS, _ORDERS, [("c_custkey", "o_custkey")], "full"))
+
+
+@query(_WHOLE_SQL.format("LEFT", " AND c_nationkey < 10"))
+def join_on_residual_whole(e):
+    return e.join(join(_CUSTOMERS, _ORDERS, [("c_custkey", "o_custkey")], "left", having=P.cmp("c_nationkey", "<", 10)))
+
+
 @query("SELECT s_suppkey, s_nationkey, n_nationkey, n_name, s_suppkey + n_nationkey AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def join_computed(e):
     c = join(Query("supplier").select("s_suppkey", "s_nationkey"), Query("nation").select("n_nationkey", "n_name"), [("s_nationkey", "n_nationkey")], using="nested_loop")
@@ -389,6 +425,13 @@ def related_through(e):
     return df.select("c_custkey", F.size("parts").cast("bigint").alias("parts"))
 
 
+@query("SELECT c_custkey, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts FROM customer LEFT JOIN (SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) ON c_custkey = o_custkey GROUP BY 1")
+def related_through_whole(e):
+    links = e.join(join(Query("orders").select("o_orderkey", "o_custkey"), Query("lineitem").select("l_orderkey", "l_partkey"), [("o_orderkey", "l_orderkey")]))
+    df = load_through(e.query(Query("customer")), links, e.query(Query("part").select("p_partkey", "p_name")), ("c_custkey", "o_custkey"), ("l_partkey", "p_partkey"), "parts", ["p_partkey"])
+    return df.select("c_custkey", F.size("parts").cast("bigint").alias("parts"))
+
+
 @query("SELECT r_regionkey, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS nations, CAST(count(s_suppkey) AS BIGINT) AS suppliers FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
 def related_nested(e):
     levels = [(e.query(Query("nation")), [("r_regionkey", "n_regionkey")], "nations", ["n_nationkey"]), (e.query(Query("supplier")), [("n_nationkey", "s_nationkey")], "suppliers", ["s_suppkey"])]
