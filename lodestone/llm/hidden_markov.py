@@ -19,9 +19,18 @@ scaled forward recursion: the exact likelihood of the whole text, summed over
 all state sequences.
 
 The corpus is tokenised once, into blocks of about ``BLOCK_BYTES`` of text with
-a dictionary each; so a word that a block holds often is one row in the count,
-and a word of every document has one row a block. Long texts are one sequence:
-forward values are kept at every ``SEGMENT``-th token and recomputed between.
+a dictionary each, in which the class of every word is kept; so a word that a
+block holds often is one row in the count, a word of every document has one row
+a block, and passes read class codes alone. Totals go back to the blocks in a
+join on the word, but for the words that stand in more than one block of
+``HOT_SHARE``: there are at most HOT_SHARE times as many of them as a mean block
+has words, and the ``HOT_WORDS`` most frequent of them travel with the tasks.
+
+The recursions run on emissions divided by the class shares, which stay near 1,
+so that values need scaling at every ``RESCALE``-th token only; passes compute
+in single precision and sum in double, scores are computed in double. Long
+texts are one sequence: forward values are kept at every ``SEGMENT``-th token
+and recomputed between.
 
 Defined results: a null text counts as empty and is one end token; a null id
 counts as training; repeated rows are scored, and counted, one by one; extra
@@ -40,10 +49,10 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, slices, small_batches
+from .common import Stored, release, slices
 
 STATES = 6
 CLASSES = 1 << 14
@@ -57,6 +66,11 @@ SEGMENT = 128
 #: sequences are grouped together: steps cost little more for many sequences.
 BATCH_TOKENS = 1 << 19
 POOL_TOKENS = 1 << 22
+#: Tokens between two scalings. A ratio of emission and class share lies between
+#: 0.01 and 61 by the smoothing, so that single precision holds eight of them.
+RESCALE = 8
+HOT_SHARE = 8
+HOT_WORDS = 1 << 18
 END = b"\n"
 LN10 = float(np.log(10))
 
@@ -69,34 +83,39 @@ def class_of(token: bytes, classes: int) -> int:
     return zlib.crc32(token) % classes
 
 
-BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, codes binary, words array<binary>, counts array<bigint>"
+BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, codes binary, kinds binary, words array<binary>, counts array<bigint>"
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(classes: int):
     """Blocks: the ids, sizes and token codes of documents, and the tokens
-    that codes stand for with their counts in the training texts."""
-    k = 0
-    for batch in slices(batches, "text", BLOCK_BYTES):
-        known: dict[bytes, int] = defaultdict(count().__next__)
-        held, codes = batch.column("held").to_pylist(), []
-        for text in batch.column("text").to_pylist():
-            own = tokens(text)
-            codes.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
-        counts = np.zeros(len(known), np.int64)
-        for c, h in zip(codes, held, strict=True):
-            if not h:
-                counts += np.bincount(c, minlength=len(known))
-        row = {
-            "block": (TaskContext.get().partitionId() << 32) + k, "doc_ids": batch.column("doc_id").to_pylist(), "held": held,
-            "sizes": [len(c) for c in codes], "codes": np.concatenate(codes).tobytes(), "words": list(known), "counts": counts.tolist(),
-        }
-        k += 1
-        yield pa.RecordBatch.from_pylist([row], _BLOCKS)
+    that codes stand for with their classes and their counts in the training
+    texts. Codes take 16 bits where the block's dictionary allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            known: dict[bytes, int] = defaultdict(count().__next__)
+            held, codes = batch.column("held").to_pylist(), []
+            for text in batch.column("text").to_pylist():
+                own = tokens(text)
+                codes.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
+            train = [c for c, h in zip(codes, held, strict=True) if not h]
+            counts = np.bincount(np.concatenate(train) if train else np.zeros(0, np.int64), minlength=len(known))
+            kinds = np.fromiter((class_of(w, classes) for w in known), np.uint16, len(known))
+            row = {
+                "block": (TaskContext.get().partitionId() << 32) + k, "doc_ids": batch.column("doc_id").to_pylist(), "held": held,
+                "sizes": [len(c) for c in codes], "codes": np.concatenate(codes).astype(np.uint16 if len(known) <= 1 << 16 else np.uint32).tobytes(),
+                "kinds": kinds.tobytes(), "words": list(known), "counts": counts.tolist(),
+            }
+            k += 1
+            yield pa.RecordBatch.from_pylist([row], _BLOCKS)
+
+    return run
 
 
 _BLOCKS = pa.schema(
     [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32()))]
-    + [("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+    + [("codes", pa.binary()), ("kinds", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
 )
 
 
@@ -106,6 +125,11 @@ class Model:
     moves: np.ndarray  # states x states
     emits: np.ndarray  # classes + 1 x states, each state's column sums to 1
 
+    def over(self, base: np.ndarray, kind: type) -> Model:
+        """The model with emissions as multiples of the class shares."""
+        ratio = np.divide(self.emits, base[:, None], out=np.zeros_like(self.emits), where=base[:, None] > 0)
+        return Model(self.start.astype(kind), self.moves.astype(kind), ratio.astype(kind))
+
     @staticmethod
     def begin(base: np.ndarray, states: int, seed: int = 11) -> Model:
         """A start from the class shares: each state leans to classes of its
@@ -154,16 +178,20 @@ def _live(sizes: np.ndarray, length: int) -> np.ndarray:
 def forward(model: Model, seqs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural logs of the likelihoods of class sequences (time x sequence)."""
     out, alpha = np.zeros(len(sizes)), model.start[None, :].repeat(len(sizes), 0)
-    live = _live(sizes, len(seqs))
+    live = _live(sizes, len(seqs)).tolist()
     for at in range(0, len(seqs), SEGMENT):
-        emitted = model.emits[seqs[at : at + SEGMENT]]
-        scales = np.ones(emitted.shape[:2])
+        emitted = np.take(model.emits, seqs[at : at + SEGMENT], axis=0)
         for t in range(len(emitted)):
             n = live[at + t]
-            alpha = (alpha[:n] @ model.moves if at + t else alpha[:n]) * emitted[t, :n]
-            scale = scales[t, :n] = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-        out += np.log(scales).sum(axis=0)
+            if n < len(alpha):
+                out[n : len(alpha)] += np.log(alpha[n:].sum(axis=1))
+                alpha = alpha[:n]
+            alpha = (alpha @ model.moves if at + t else alpha) * emitted[t, :n]
+            if t % RESCALE == 0:
+                scale = alpha.sum(axis=1)
+                out[:n] += np.log(scale)
+                alpha /= scale[:, None]
+    out[: len(alpha)] += np.log(alpha.sum(axis=1))
     return out
 
 
@@ -171,34 +199,40 @@ def _expect_whole(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[
     """``expect`` with all forward and backward values kept: what is not part
     of the recursions is then done for all tokens at once."""
     starts, moves, emits = add
-    length, k, live = len(seqs), len(model.start), _live(sizes, len(seqs))
-    emitted = model.emits[seqs]
-    alphas, scales = np.zeros(emitted.shape), np.ones(emitted.shape[:2])
-    alpha = model.start[None, :].repeat(len(sizes), 0)
-    for t, n in enumerate(live):
-        alpha = (alpha[:n] @ model.moves if t else alpha[:n]) * emitted[t, :n]
-        scale = scales[t, :n] = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        alphas[t, :n] = alpha
-    emitted /= scales[:, :, None]
-    betas, back = np.zeros(emitted.shape), model.moves.T
-    beta = np.ones((0, k))
+    (length, width), k, live = seqs.shape, len(model.start), _live(sizes, len(seqs)).tolist()
+    emitted = np.take(model.emits, seqs, axis=0)
+    alphas, betas, total = np.zeros_like(emitted), np.zeros_like(emitted), 0.0
+    alpha = alphas[0]
+    np.multiply(model.start[None, :], emitted[0], out=alpha)
+    for t in range(1, length):
+        n = live[t]
+        new = alphas[t, :n]
+        np.matmul(alpha[:n], model.moves, out=new)
+        new *= emitted[t, :n]
+        if t % RESCALE == 0:
+            scale = new.sum(axis=1, keepdims=True)
+            total += float(np.log(scale).sum(dtype=np.float64))
+            new /= scale
+            emitted[t, :n] /= scale
+        alpha = new
+    ends = alphas[sizes - 1, np.arange(width)].sum(axis=1)
+    total += float(np.log(ends).sum(dtype=np.float64))
+    last, back, n, met = np.repeat(1 / ends[:, None], k, axis=1), np.ascontiguousarray(model.moves.T), 0, np.zeros((k, k))
     for t in range(length - 1, -1, -1):
+        beta = betas[t]
+        if n:
+            np.matmul(emitted[t + 1, :n], back, out=beta[:n])
+            met += alphas[t, :n].T @ emitted[t + 1, :n]
+        beta[n : live[t]] = last[n : live[t]]
         n = live[t]
-        if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-        betas[t, :n] = beta
-        emitted[t, :n] *= beta
-        beta = emitted[t, :n] @ back
-    # cells beyond a sequence's end have forward and backward values of 0
-    after = np.where((betas[1:] > 0).any(axis=2)[:, :, None], emitted[1:], 0.0)
-    moves += model.moves * (alphas[:-1].reshape(-1, k).T @ after.reshape(-1, k))
-    alphas *= betas
-    starts += alphas[0].sum(axis=0)
-    flat, gamma = seqs.reshape(-1), alphas.reshape(-1, k)
+        emitted[t, :n] *= beta[:n]
+    moves += model.moves * met
+    alphas *= betas  # cells beyond a sequence's end have values of 0
+    starts += alphas[0].sum(axis=0, dtype=np.float64)
+    flat, gamma = seqs.reshape(-1), alphas.reshape(-1, k).T.astype(np.float64, order="C")
     for j in range(k):
-        emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emits))
-    return float(np.log(scales).sum())
+        emits[:, j] += np.bincount(flat, weights=gamma[j], minlength=len(emits))
+    return total
 
 
 def expect(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
@@ -253,8 +287,12 @@ def expect(model: Model, seqs: np.ndarray, sizes: np.ndarray, add: tuple[np.ndar
     return total
 
 
-def _classes(block: dict, classes: int) -> np.ndarray:
-    return np.array([class_of(w, classes) for w in block["words"]], np.int32)[np.frombuffer(block["codes"], np.uint32)]
+def _codes(block: dict) -> np.ndarray:
+    return np.frombuffer(block["codes"], np.uint16 if len(block["codes"]) == 2 * sum(block["sizes"]) else np.uint32)
+
+
+def _kinds(block: dict) -> np.ndarray:
+    return np.frombuffer(block["kinds"], np.uint16).astype(np.int32)
 
 
 def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -263,7 +301,7 @@ def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     for batch in batches:
         for block in batch.to_pylist():
             pool.append(block)
-            size += len(block["codes"]) // 4
+            size += sum(block["sizes"])
             if size >= POOL_TOKENS:
                 yield pool
                 pool, size = [], 0
@@ -273,14 +311,15 @@ def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 def _expected(model: Model, classes: int):
     """Rows (class, state counts...): the sums of a partition; class -1 holds
-    the starts, -2 - i the moves from state i, -2 - states the likelihood."""
+    the starts, -2 - i the moves from state i, -2 - states the likelihood, as a
+    multiple of the class shares' one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.start)
         add = (np.zeros(k), np.zeros((k, k)), np.zeros((classes + 1, k)))
         total = 0.0
         for pool in _pools(batches):
-            seq = np.concatenate([_classes(b, classes) for b in pool])
+            seq = np.concatenate([_kinds(b)[_codes(b)] for b in pool])
             sizes, held = np.array([n for b in pool for n in b["sizes"]]), np.array([h for b in pool for h in b["held"]], bool)
             begins, train = np.r_[0, sizes.cumsum()[:-1]], np.flatnonzero(~held)
             for group in batches_of(sizes[train]):
@@ -304,53 +343,61 @@ class Scorer:
     v: int  # distinct ones
     class_tokens: np.ndarray
     class_kinds: np.ndarray
+    base: np.ndarray  # the share of each class in the training texts, smoothed
     blocks: Stored
-    counts: Stored
+    counts: Stored  # word, c, and the blocks m that hold it
     likelihoods: list[float]
 
 
+def _every(blocks: DataFrame, *carried: str) -> DataFrame:
+    """A row for each word of each block, with its place in the dictionary."""
+    own = [c for c in carried if c == "block"]
+    x = F.arrays_zip("words", "counts") if "counts" in carried else F.arrays_zip("words")
+    out = blocks.select(*own, F.posexplode(x).alias("at", "x"))
+    return out.select(*own, "at", F.col("x.words").alias("word"), *[F.col(f"x.{c}") for c in carried if c not in own])
+
+
 def fit(docs: DataFrame, held: str = "held", states: int = STATES, classes: int = CLASSES, passes: int = PASSES, smoothing: float = 0.1, gain: float = GAIN) -> Scorer:
     """Count and train over all documents whose ``held`` is not true, for
     ``passes`` at the most.
 
     ``smoothing``: the weight of the class shares, in tokens of a mean state."""
+    if classes > 1 << 16:
+        raise ValueError("classes are kept in 16 bits")
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(held), F.lit(False)).alias("held"))
-    blocks = Stored(rows.mapInArrow(_encode, BLOCKS), "token-blocks")
-    every = blocks.df.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", "x.words", "x.counts")
-    # a word has a row for each block; its total goes back to the blocks
-    word = Window.partitionBy("words")
-    total = every.select("block", "at", F.sum("counts").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
-    counts = Stored(total.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c", "first"))).alias("x")).select("block", F.col("x.c").alias("c"), F.col("x.first").alias("first")), "token-counts")
+    blocks = Stored(rows.mapInArrow(_encode(classes), BLOCKS), "token-blocks")
+    every = _every(blocks.df, "counts")
+    totals = Stored(every.groupBy("word").agg(F.sum("counts").alias("c"), F.count(F.lit(1)).alias("m")).where("c > 0"), "word-counts")
     release(spark)
-    firsts = blocks.df.select("block", F.transform("words", lambda w: F.crc32(w) % classes).alias("class")).join(counts.df, "block")
-    firsts = firsts.select(F.explode(F.filter(F.arrays_zip("class", "c", "first"), lambda x: x["first"] & (x["c"] > 0))).alias("x"))
-    found = firsts.groupBy(F.col("x.class").cast("int").alias("k")).agg(F.sum("x.c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()  # a row a class
+    by_class = totals.df.groupBy((F.crc32("word") % classes).cast("int").alias("k"))
+    found = by_class.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()  # a row a class
     c, v = np.zeros(classes + 1), np.zeros(classes + 1)
     if found.num_rows:
         c[found["k"].to_numpy()], v[found["k"].to_numpy()] = found["c"].to_numpy(), found["v"].to_numpy()
     n, kinds = int(c.sum()), int(v.sum())
     base = (c + 0.5 * v) / (n + 0.5 * (kinds + 1))
     base[classes] = 0.5 / (n + 0.5 * (kinds + 1))
+    by_shares = float((c[c > 0] * np.log(base[c > 0])).sum())  # the log-likelihood of the class shares alone
     model, likelihoods = Model.begin(base, states), []
     names = [f"s{j}" for j in range(states)]
     for _ in range(passes if n else 0):
-        parts = blocks.df.select("held", "sizes", "codes", "words").mapInArrow(_expected(model, classes), "c int, " + ", ".join(f"{x} double" for x in names))
+        parts = blocks.df.select("held", "sizes", "codes", "kinds").mapInArrow(_expected(model.over(base, np.float32), classes), "c int, " + ", ".join(f"{x} double" for x in names))
         got = parts.groupBy("c").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # a row a class
         key, sums = got["c"].to_numpy(), np.stack([got[x].to_numpy() for x in names], axis=1)
         emits = np.zeros((classes + 1, states))
         emits[key[key >= 0]] = sums[key >= 0]
         at = {int(x): sums[i] for i, x in enumerate(key) if x < 0}
-        likelihoods.append(float(at[-2 - states][0]))
+        likelihoods.append(float(at[-2 - states][0]) + by_shares)
         model = model.learn(at[-1], np.stack([at[-2 - i] for i in range(states)]), emits, base, smoothing * n / states)
         if len(likelihoods) >= LEAST_PASSES and likelihoods[-1] - likelihoods[-2] < gain * abs(likelihoods[-2]):
             break
-    return Scorer(model, classes, n, kinds, c, v, blocks, counts, likelihoods)
+    return Scorer(model, classes, n, kinds, c, v, base, blocks, totals, likelihoods)
 
 
 def _score(s: Scorer):
-    model, classes, n, v, tokens_of, kinds_of = s.model, s.classes, s.n, s.v, s.class_tokens, s.class_kinds
+    model, classes, n, v, tokens_of, kinds_of = s.model.over(s.base, np.float64), s.classes, s.n, s.v, s.class_tokens, s.class_kinds
+    shares = np.log10(np.where(s.base > 0, s.base, 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pool in _pools(batches):
@@ -358,11 +405,14 @@ def _score(s: Scorer):
             sizes = np.array([m for b in pool for m in b["sizes"]])
             seqs, bases, withins, hits = [], [], [], []
             for b in pool:
-                codes, c = np.frombuffer(b["codes"], np.uint32), np.array(b["c"], np.float64)
-                cls = np.where(c > 0, np.array([class_of(w, classes) for w in b["words"]], np.int64), classes)
+                codes, kinds = _codes(b), _kinds(b)
+                c = np.zeros(len(kinds))
+                if b["at"]:
+                    c[b["at"]] = b["c"]
+                cls = np.where(c > 0, kinds, classes)
                 own = np.array(b["sizes"])
                 at = np.r_[0, own.cumsum()[:-1]]
-                within = np.where(c > 0, np.log10((c + 0.5) / np.maximum(tokens_of[cls] + 0.5 * kinds_of[cls], 0.5)), 0.0)
+                within = np.where(c > 0, np.log10((c + 0.5) / np.maximum(tokens_of[cls] + 0.5 * kinds_of[cls], 0.5)), 0.0) + shares[cls]
                 bases.append(np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[codes], at))
                 withins.append(np.add.reduceat(within[codes], at))
                 hits.append(np.add.reduceat((c > 0).astype(np.int64)[codes], at))
@@ -378,7 +428,15 @@ def _score(s: Scorer):
 
 def score(s: Scorer) -> DataFrame:
     """Scores, in log10, of all documents of the fitted corpus."""
-    met = s.blocks.df.join(s.counts.df.select("block", "c"), "block").select("doc_ids", "held", "sizes", "codes", "words", "c")
+    blocks = s.blocks.df
+    every = _every(blocks, "block")
+    most = blocks.count() // HOT_SHARE
+    hot = s.counts.df.where(F.col("m") > most).orderBy(F.desc("m"), "word").limit(HOT_WORDS).select("word", F.col("c").alias("hot"))
+    told = every.join(F.broadcast(hot), "word", "left")
+    rest = told.where("hot is null").drop("hot").join(s.counts.df.select("word", "c"), "word")
+    both = told.where("hot is not null").select("block", "at", F.col("hot").alias("c")).unionByName(rest.select("block", "at", "c"))
+    counts = both.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("x")).select("block", "x.at", "x.c")
+    met = blocks.select("block", "doc_ids", "held", "sizes", "codes", "kinds").join(counts, "block", "left").drop("block")
     return met.mapInArrow(_score(s), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
