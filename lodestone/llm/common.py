@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,23 +25,33 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is one made."""
+    Where the session names none and runs on one machine (tests) one is made;
+    on a cluster a machine-local folder would be wrong, and this is an error."""
     own = "lodestone.shared.dir"
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(own, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set(own, found)
     return found.rstrip("/")
 
 
 class Stored:
-    """A table written to the shared folder: lineage ends there."""
+    """A table written to the shared folder: lineage ends there.
+
+    What an operator still reads when it returns can't be deleted by it:
+    ``drop_stored`` does so, once results are written elsewhere."""
+
+    kept: list[Stored] = []
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
+        Stored.kept.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -51,6 +62,58 @@ class Stored:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        Stored.kept = [x for x in Stored.kept if x is not self]
+
+
+def drop_stored(spare: set[str] = frozenset()) -> None:
+    """Delete all stored tables but those whose paths are in ``spare``."""
+    for x in [x for x in Stored.kept if x.path not in spare]:
+        x.drop()
+
+
+def with_rid(df: DataFrame, name: str) -> Stored:
+    """The rows stored as ``rid``, a number of their own, and the struct
+    ``row``: ids may be null or repeat, and a number is only good where it is
+    not made again."""
+    return Stored(df.select(F.monotonically_increasing_id().alias("rid"), whole_row(df).alias("row")), name)
+
+
+#: Keys that may travel with the tasks because they have many rows each.
+MOST_HOT = 10_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, most: int = MOST_HOT) -> DataFrame:
+    """An inner join of ``rows`` to ``facts``, one row a key, where ``count``
+    says how many rows a key has, of ``total``. Keys with more than one row in
+    ``most``, of which there are at most that many, are broadcast, so that no
+    task gets a hot key's rows."""
+    hot = facts[count] > total // most
+    many = facts.where(hot)
+    met = rows.join(F.broadcast(many), keys)
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(facts.where(~hot), keys))
+
+
+#: Bits of a bitmap, at the most: 64 MB.
+MOST_BITS = 29
+
+
+def bitmap(hashes: DataFrame, n: int):
+    """Broadcast a bitmap by the low bits of column ``h``, 16 bits for each of
+    ``n`` values as far as it goes; it is combined by words, of which there is
+    a bounded number. It may let too much through but never too little."""
+    size = min(MOST_BITS, max(12, (16 * max(1, n)).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    if words.num_rows:
+        out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def release(spark: SparkSession) -> None:
@@ -61,13 +124,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of a batch sent to Python, as texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices, small_batches
+from .common import labelled_sample, slices
 
 BITS = 18
 GRADES = 3
@@ -126,7 +126,6 @@ def _featurise(bits: int):
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12000, bits: int = BITS) -> OrdinalModel:
     """Fit on the documents of at most about ``max_labelled`` labels."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(labels, max_labelled).withColumnRenamed("doc_id", "_id")
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("quality", "toxic", "text")
     rows = joined.mapInArrow(_featurise(bits), "quality int, toxic int, ids array<int>").toArrow()
@@ -148,6 +147,5 @@ def _score(model: OrdinalModel, at_least: int):
 
 def select(docs: DataFrame, model: OrdinalModel, at_least: int = GRADES - 1, probability: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_probability and whether it is kept."""
-    small_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, at_least), "doc_id bigint, expected_grade double, tail_probability double")
     return out.withColumn("kept", F.col("tail_probability") >= probability)

@@ -10,39 +10,45 @@ only under a trigger that occurs twice, so:
 
 1. the triggers of the parse are counted (one small row for each phrase, about
    a fortieth of the bytes): most occur once and end here;
-2. occurrences of phrases under repeated triggers are ranked by the key of
-   their bytes and, within a rank, in corpus order: all but the first of a
-   phrase are repeats as a whole, and the firsts are the dictionary;
-3. where one trigger has several phrases in the dictionary, their suffixes of
-   a window's length are ordered, equal ones together and then in corpus
-   order: all but the first of a suffix are repeats;
-4. repeats become byte runs of their documents, which are cut out.
-
-A suffix is ordered by the Karp-Rabin hash of its first ``window`` bytes (with
-its trigger's: 128 bits), not letter by letter: only equality over a window
-and corpus order are asked for. A trigger with more than ``MOST_PHRASES``
-phrases is no group of one task: its suffixes become rows, and the least place
-of each is combined before it is shuffled. Which triggers to look at travels
-to the next pass over the texts as bitmaps of bounded size, which may let too
-much through but never too little.
+2. the parse is ordered: occurrences of phrases under repeated triggers are
+   brought together by phrase and, within a phrase, in corpus order. All but
+   the first are repeats as a whole, and the firsts are the dictionary;
+3. the dictionary is ordered: of the phrases under one trigger, the suffixes
+   from the trigger on are sorted by their bytes, and so are the prefixes
+   before it, read backwards, both with the lengths of the common prefixes of
+   neighbours (a suffix array each). Windows that are equal have the trigger at
+   the same place, so the window with ``a`` bytes before the trigger has, in
+   the two orders, a class at the depths a and window - a: two windows are
+   equal if both classes are. All but the first in corpus order are repeats;
+4. repeats become byte runs of their rows, which are cut out.
+
+So windows are compared by their bytes. Phrases are told apart by 128 bits of
+two rolling hashes with different tables, and their trigger's hash. A trigger
+with more than ``MOST_PHRASES`` phrases is no group of one task: its windows
+become rows, told apart like phrases, and the least place of each is combined
+before it is shuffled. Phrases and windows that a large share of the rows have
+are joined by broadcast. Which triggers to look at travels to the next pass
+over the texts as bitmaps of bounded size, which may let too much through but
+never too little.
 
 Defined results: a null text counts as empty; matches never cross documents;
-documents come in order of id, null first; rows of one id count as one
-document, by start; an empty table gives an empty result; extra columns are
-ignored.
+documents come in order of id, null first, and rows of one id, or of none, in
+the order in which they are stored, each a document of its own; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, small_batches
+from .common import Stored, bitmap, join_counted, marked, release
 
 WINDOW = 100
 TRIGGER = 20
@@ -50,10 +56,12 @@ TRIGGER = 20
 CHUNK = 1 << 18
 #: Phrases of one trigger that one task orders; more are dealt out as rows.
 MOST_PHRASES = 2000
-#: Bits of a bitmap of triggers, at the most: 64 MB.
-MOST_BITS = 29
+#: Phrases of the dictionary that a task orders, on average.
+TASK_PHRASES = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
+_BASE2 = 0xD6E8FEB86659FD93
+_TABLE2 = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,14 +80,36 @@ def _join(a: np.ndarray, b: np.ndarray, shift: int, n: int) -> np.ndarray:
     return a[: len(b) - shift] * _power(n) + b[shift:]
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the second base, and of its inverse, up to the n-th."""
+    def of(base: int) -> np.ndarray:
+        x = np.full(n + 1, base, np.uint64)
+        x[0] = 1
+        return np.cumprod(x, dtype=np.uint64)
+
+    return of(_BASE2), of(pow(_BASE2, -1, 1 << 64))
+
+
+class Runs:
+    """Rolling hashes, of the second kind, of runs of any length."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.back = _powers(1 << (len(data) - 1).bit_length())
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE2[data] * powers[: len(data)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * self.back[start])
+
+
 class Parse:
     """Phrases of a chunk of bytes in which ``limits`` end the documents."""
 
     def __init__(self, data: np.ndarray, limits: np.ndarray, window: int = WINDOW, trigger: int = TRIGGER):
         n_windows = len(data) - window + 1
-        names = ("start", "count", "trigger", "key", "hashes")
         if n_windows <= 0:
-            self.start, self.count, self.trigger, self.key, self.hashes = (np.zeros(0, np.uint64) for _ in names)
+            self.start = self.count = self.left = np.zeros(0, np.int64)
+            self.trigger = self.key = self.hashes = np.zeros(0, np.uint64)
             return
         runs = {1: _TABLE[data]}
         n = 1
@@ -113,16 +143,19 @@ class Parse:
         ends = np.flatnonzero(whole & np.r_[(place[1:] != place[:-1]) | ~whole[1:], True])
         self.count = ends - self.start + 1
         at = place[self.start]
+        self.left = at - self.start  # bytes before the trigger
         self.trigger = short[at]
         shape = (at - self.start).astype(np.uint64) * np.uint64(1024) + self.count.astype(np.uint64)
         self.key = _mix(self.hashes[self.start] * np.uint64(3) + _mix(self.hashes[ends] + shape))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
-    """(bytes, document ends, ids, starts within the document) of each chunk."""
+    """(bytes, document ends, rows, starts within the document) of each chunk;
+    a row is its number and its id."""
     data, ends, ids, starts, size = [], [], [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for key in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
+            *key, text = key
             raw = (text or "").encode("utf-8", "surrogatepass")
             for at in range(0, max(1, len(raw) - window + 1), CHUNK):
                 part = raw[at : at + CHUNK + window - 1]
@@ -152,168 +185,202 @@ def _triggers(window: int, trigger: int):
     return run
 
 
-def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _bitmap(hashes: DataFrame, n: int):
-    """Broadcast a bitmap by the low bits of column ``h``, 16 bits for each of
-    ``n`` values as far as it goes; it is combined by words, of which there is
-    a bounded number."""
-    size = min(MOST_BITS, max(12, (16 * max(1, n)).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (size - 6), np.uint64)
-    if words.num_rows:
-        out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint8))
-
-
-def _places(which: np.ndarray, p: Parse, ends: np.ndarray, ids: list, starts: list) -> tuple[pa.Array, np.ndarray]:
-    """Document and start within it of the phrases in ``which``."""
+def _places(which: np.ndarray, p: Parse, ends: np.ndarray, rows: list, starts: list) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Id, row number and start within the document of the phrases in ``which``."""
     at = p.start[which]
     doc = np.searchsorted(ends, at, side="right")
     begin = np.r_[0, ends[:-1]][doc]
-    return pa.array(ids, pa.int64()).take(pa.array(doc)), np.array(starts, np.int64)[doc] + at - begin
+    rid, ids = (pa.array([r[i] for r in rows], pa.int64()).take(pa.array(doc)) for i in (0, 1))
+    return ids, rid, np.array(starts, np.int64)[doc] + at - begin
 
 
-PHRASES = "k bigint, t bigint, doc_id bigint, start bigint, count bigint"
+PHRASES = "k bigint, k2 bigint, t bigint, doc_id bigint, rid bigint, start bigint, count bigint"
+KEY = ["k", "k2", "t"]
 
 
 def _phrases(window: int, trigger: int, repeated):
     """Occurrences of phrases under repeated triggers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, ends, ids, starts in _chunks(batches, window):
+        for data, ends, rows, starts in _chunks(batches, window):
             p = Parse(data, ends, window, trigger)
-            which = np.flatnonzero(_marked(repeated.value, p.trigger))
-            doc, start = _places(which, p, ends, ids, starts)
-            yield pa.RecordBatch.from_arrays([_long(p.key[which]), _long(p.trigger[which]), doc, pa.array(start), pa.array(p.count[which].astype(np.int64))], ["k", "t", "doc_id", "start", "count"])
+            which = np.flatnonzero(marked(repeated.value, p.trigger))
+            doc, rid, start = _places(which, p, ends, rows, starts)
+            begin, count = p.start[which], p.count[which].astype(np.int64)
+            k2 = Runs(data).of(begin, begin + count + (window - 1))
+            yield pa.RecordBatch.from_arrays([_long(p.key[which]), _long(k2), _long(p.trigger[which]), doc, rid, pa.array(start), pa.array(count)], ["k", "k2", "t", "doc_id", "rid", "start", "count"])
 
     return run
 
 
-def _place_hash(k: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _place_hash(k: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
     """As in ``_PLACE_HASH``."""
-    doc, start = doc.astype(np.int64).view(np.uint64), start.astype(np.int64).view(np.uint64)
-    return k ^ doc ^ (doc << np.uint64(13)) ^ (start << np.uint64(5))
+    rid, start = rid.astype(np.int64).view(np.uint64), start.astype(np.int64).view(np.uint64)
+    return k ^ rid ^ (rid << np.uint64(13)) ^ (start << np.uint64(5))
 
 
-_PLACE_HASH = "k ^ coalesce(doc_id, 0L) ^ shiftleft(coalesce(doc_id, 0L), 13) ^ shiftleft(start, 5)"
+_PLACE_HASH = "k ^ rid ^ shiftleft(rid, 13) ^ shiftleft(start, 5)"
 
 
 def _dictionary(window: int, trigger: int, firsts, crowded):
-    """Phrases of the dictionary whose suffixes are to be ordered: with their
-    bytes, or, under a crowded trigger, as a row for each suffix."""
+    """Phrases of the dictionary that are to be ordered: with their bytes and
+    the place of the trigger in them, or, under a crowded trigger, as a row for
+    each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, ends, ids, starts in _chunks(batches, window):
+        for data, ends, rows, starts in _chunks(batches, window):
             p = Parse(data, ends, window, trigger)
             which = np.arange(len(p.start))
-            doc, start = _places(which, p, ends, ids, starts)
-            ok = _marked(firsts.value, _place_hash(p.key, doc.fill_null(0).to_numpy(zero_copy_only=False), start))
-            many = ok & _marked(crowded.value, p.trigger)
+            doc, rid, start = _places(which, p, ends, rows, starts)
+            ok = marked(firsts.value, _place_hash(p.key, rid.to_numpy(), start))
+            many = ok & marked(crowded.value, p.trigger)
             few = np.flatnonzero(ok & ~many)
-            raw = data.tobytes()
+            raw, none = data.tobytes(), pa.nulls(len(few), pa.int64())
             body = [raw[a : a + n + window - 1] for a, n in zip(p.start[few].tolist(), p.count[few].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(few), pa.int64()), _long(p.trigger[few]), doc.take(pa.array(few)), pa.array(start[few]), pa.array(body, pa.binary())], _DICTIONARY)
+            left = pa.array(p.left[few].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([none, none, _long(p.trigger[few]), doc.take(pa.array(few)), rid.take(pa.array(few)), pa.array(start[few]), left, pa.array(body, pa.binary())], _DICTIONARY)
             if many.any():
                 n = p.count[many]
                 off = np.arange(n.sum()) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
                 of = np.repeat(np.flatnonzero(many), n)
-                yield pa.RecordBatch.from_arrays(
-                    [_long(p.hashes[p.start[of] + off]), _long(p.trigger[of]), doc.take(pa.array(of)), pa.array(start[of] + off), pa.nulls(len(of), pa.binary())], _DICTIONARY
-                )
+                at = p.start[of] + off
+                arrays = [_long(p.hashes[at]), _long(Runs(data).of(at, at + window)), _long(p.trigger[of]), doc.take(pa.array(of)), rid.take(pa.array(of)), pa.array(start[of] + off)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(of), pa.int32()), pa.nulls(len(of), pa.binary())], _DICTIONARY)
 
     return run
 
 
-_DICTIONARY = ["k", "t", "doc_id", "start", "body"]
-
-
-def _order(window: int):
-    """Repeated suffixes among phrases that come sorted by trigger."""
+_DICTIONARY = ["k", "k2", "t", "doc_id", "rid", "start", "left", "body"]
+
+
+def suffix_array(context: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of ``context`` by group and then by their bytes,
+    and how many bytes each has in common with the one before it in that
+    order; -1 where a group begins."""
+    m, width = context.shape
+    key = np.empty((m, width + 8), np.uint8)
+    key[:, :8] = group.astype(">u8").view(np.uint8).reshape(m, 8)
+    key[:, 8:] = context
+    order = np.argsort(key.view(f"S{width + 8}").reshape(m), kind="stable")
+    sorted_, own = context[order], group[order]
+    differs = np.ones((max(0, m - 1), width + 1), bool)  # the last column ends the search
+    np.not_equal(sorted_[1:], sorted_[:-1], out=differs[:, :width])
+    common = np.r_[-1, np.where(own[1:] == own[:-1], differs.argmax(axis=1), -1)] if m else np.zeros(0, np.int64)
+    return order, common
+
+
+def repeated_windows(bodies: list[bytes], left: np.ndarray, group: np.ndarray, window: int, trigger: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of phrases in corpus order, with ``left`` bytes before their trigger and
+    a number for each trigger: the phrase and the place of every window that an
+    earlier phrase of the group has too."""
+    most, m = window - trigger, len(bodies)
+    size, pad = np.array([len(b) for b in bodies]), bytes(most)
+    frame = np.frombuffer(b"".join([(pad[n:] + b).ljust(most + window, b"\0") for b, n in zip(bodies, left.tolist(), strict=True)]), np.uint8).reshape(m, most + window)
+    after, before = suffix_array(np.ascontiguousarray(frame[:, most:]), group), suffix_array(np.ascontiguousarray(frame[:, :most][:, ::-1]), group)
+    right = size - left
+
+    def classes(ordered: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+        out = np.empty(m, np.int64)
+        out[ordered[0]] = np.cumsum(ordered[1] < depth)
+        return out
+
+    phrases, places = [], []
+    for a in range(most + 1):
+        own = np.flatnonzero((left >= a) & (right >= window - a))
+        if len(own) > 1:
+            key = (classes(before, a) * (m + 1) + classes(after, window - a))[own]
+            order = np.argsort(key, kind="stable")  # stable: corpus order among equals
+            again = own[order[1:][key[order[1:]] == key[order[:-1]]]]
+            phrases.append(again)
+            places.append(left[again] - a)
+    if not phrases:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    phrase, place = np.concatenate(phrases), np.concatenate(places)
+    order = np.lexsort((place, phrase))
+    return phrase[order], place[order]
+
+
+def _order(window: int, trigger: int):
+    """Repeated windows among phrases that come sorted by trigger."""
 
     def repeated(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending")])  # nulls come last here: first below
+        rows = rows.sort_by([("doc_id", "ascending"), ("rid", "ascending"), ("start", "ascending")])  # nulls come last here: first below
         doc = rows["doc_id"].combine_chunks()
         rows = rows.take(pa.array(np.argsort(doc.is_valid().to_numpy(zero_copy_only=False), kind="stable")))
-        body = rows["body"].to_pylist()
-        size = np.array([len(b) for b in body])
-        count = size - (window - 1)
-        p = Parse(np.frombuffer(b"".join(body), np.uint8), size.cumsum(), window, window)
-        off = np.arange(count.sum()) - np.repeat(np.r_[0, count.cumsum()[:-1]], count)
-        of = np.repeat(np.arange(len(body)), count)
-        key = _mix(p.hashes[np.r_[0, size.cumsum()[:-1]][of] + off] ^ rows["t"].to_numpy().view(np.uint64)[of])
-        order = np.argsort(key, kind="stable")  # stable: corpus order among equals
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
-        new = again & np.r_[True, ~again[:-1] | (of[1:] != of[:-1])]
-        last = again & np.r_[~again[1:] | (of[1:] != of[:-1]), True]
-        a, b = np.flatnonzero(new), np.flatnonzero(last)
-        start = rows["start"].to_numpy()[of[a]] + off[a]
-        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(of[a])), pa.array(start), pa.array(start + (b - a) + window)], ["doc_id", "start", "end"])
+        group = np.unique(rows["t"].to_numpy(), return_inverse=True)[1]
+        of, at = repeated_windows(rows["body"].to_pylist(), rows["left"].to_numpy().astype(np.int64), group, window, trigger)
+        new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)][: len(of)]
+        last = np.r_[new[1:], True][: len(of)]
+        start = rows["start"].to_numpy()[of]
+        return pa.RecordBatch.from_arrays([rows["rid"].combine_chunks().take(pa.array(of[new])), pa.array((start + at)[new]), pa.array((start + at)[last] + window)], ["rid", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"t": pa.array([], pa.int64())})
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            new = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, new]) if held.num_rows else new
-            if held.nbytes > (4 << 20):
-                t = held["t"].to_numpy()
+            held.append(batch)
+            if sum(b.nbytes for b in held) > (8 << 20):
+                rows = pa.Table.from_batches(held)
+                t = rows["t"].to_numpy()
                 cut = int(np.searchsorted(t, t[-1], side="left"))  # the last trigger may go on
                 if cut:
-                    yield repeated(held.slice(0, cut))
-                    held = held.slice(cut)
-        if held.num_rows:
-            yield repeated(held)
+                    yield repeated(rows.slice(0, cut))
+                    held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield repeated(pa.Table.from_batches(held))
 
     return run
 
 
-def _later(rows: DataFrame, firsts: DataFrame, length: Column) -> DataFrame:
+def _later(rows: DataFrame, firsts: DataFrame, total: int, length: Column) -> DataFrame:
     """The rows that stand later than the first of their key, as byte runs."""
-    met = rows.join(firsts, ["k", "t"]).where(F.struct("doc_id", "start") > F.col("first"))
-    return met.select("doc_id", "start", (F.col("start") + length).alias("end"))
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> Stored:
-    """(doc_id, runs): the byte runs (a, b) made of repeated windows, of each
-    document that has any; they may overlap."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one, place = F.count(F.lit(1)).alias("m"), F.struct("doc_id", "start")
-    counted = texts.mapInArrow(_triggers(window, trigger), "t bigint").groupBy("t").agg(one)
+    met = join_counted(rows, firsts.select(*KEY, "m", "first"), KEY, "m", total).where(F.struct("doc_id", "rid", "start") > F.col("first"))
+    return met.select("rid", "start", (F.col("start") + length).alias("end"))
+
+
+def stored_texts(docs: DataFrame) -> Stored:
+    """rid, doc_id and text of every row."""
+    return Stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "dedup-texts")
+
+
+def repeats(texts: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> Stored:
+    """(rid, runs): the byte runs (a, b) made of repeated windows, of each row
+    of ``stored_texts`` that has any; they may overlap."""
+    spark = texts.sparkSession
+    one, place = F.count(F.lit(1)).alias("m"), F.struct("doc_id", "rid", "start")
+    counted = texts.select("rid", "doc_id", "text").mapInArrow(_triggers(window, trigger), "t bigint").groupBy("t").agg(one)
     again = Stored(counted.where("m > 1").select(F.col("t").alias("h")), "triggers")
-    repeated = _bitmap(again.df, again.df.count())
+    repeated = bitmap(again.df, again.df.count())
     again.drop()
     release(spark)
 
     phrases = Stored(texts.mapInArrow(_phrases(window, trigger, repeated), PHRASES), "phrases")
-    firsts = Stored(phrases.df.groupBy("k", "t").agg(one, F.min(place).alias("first")), "phrase-firsts")
+    firsts = Stored(phrases.df.groupBy(*KEY).agg(one, F.min(place).alias("first")), "phrase-firsts")
     first = firsts.df
     several = Stored(first.groupBy("t").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "triggers-several")
-    in_question = Stored(first.join(several.df, "t").select("k", "first.doc_id", "first.start").select(F.expr(_PLACE_HASH).alias("h")), "phrases-several")
-    asked = _bitmap(in_question.df, in_question.df.count())
+    asked_for = join_counted(first, several.df, ["t"], "phrases", first.count())
+    in_question = Stored(asked_for.select("k", "first.rid", "first.start").select(F.expr(_PLACE_HASH).alias("h")), "phrases-several")
+    asked = bitmap(in_question.df, in_question.df.count())
     crowd = several.df.where(F.col("phrases") > MOST_PHRASES).select(F.col("t").alias("h"))
-    crowded = _bitmap(crowd, crowd.count())
+    crowded = bitmap(crowd, crowd.count())
     several.drop()
     in_question.drop()
-    dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, t bigint, doc_id bigint, start bigint, body binary"), "dictionary")
-    entries = dictionary.df
+    dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, k2 bigint, t bigint, doc_id bigint, rid bigint, start bigint, left int, body binary"), "dictionary")
+    entries, suffixes = dictionary.df.where("body is not null").drop("k", "k2"), dictionary.df.where("body is null").drop("left", "body")
     release(spark)
 
-    whole = _later(phrases.df, first.where("m > 1").select("k", "t", "first"), F.col("count") + (window - 1))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = entries.where("body is not null").select("t", "doc_id", "start", "body").repartition(n, "t").sortWithinPartitions("t").mapInArrow(_order(window), "doc_id bigint, start bigint, end bigint")
-    suffixes = entries.where("body is null").select("k", "t", "doc_id", "start")
-    crowd_firsts = suffixes.groupBy("k", "t").agg(one, F.min(place).alias("first")).where("m > 1").select("k", "t", "first")
-    found = whole.unionByName(parts).unionByName(_later(suffixes, crowd_firsts, F.lit(window)))
-    runs = Stored(found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
+    whole = _later(phrases.df, first.where("m > 1"), phrases.df.count(), F.col("count") + (window - 1))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dictionary.df.count() // TASK_PHRASES)
+    parts = entries.repartition(n, "t").sortWithinPartitions("t").mapInArrow(_order(window, trigger), "rid bigint, start bigint, end bigint")
+    found = whole.unionByName(parts)
+    crowd_rows = suffixes.count()
+    if crowd_rows:
+        crowd_firsts = suffixes.groupBy(*KEY).agg(one, F.min(place).alias("first")).where("m > 1")
+        found = found.unionByName(_later(suffixes, crowd_firsts, crowd_rows, F.lit(window)))
+    runs = Stored(found.groupBy("rid").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
     for done in (phrases, firsts, dictionary):
         done.drop()
+    for bits in (repeated, asked, crowded):
+        bits.destroy()
     release(spark)
     return runs
 
@@ -348,28 +415,29 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _only(marked, wanted: bool):
-    """The documents that are in a bitmap of ids, or those that are not."""
+#: Row numbers, which are a partition and a place, as hashes for a bitmap.
+_ROW_HASH = "rid ^ shiftleft(shiftright(rid, 33), 11)"
+
+
+def _only(some, wanted: bool):
+    """The documents that are in a bitmap of rows, or those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(_marked(marked.value, ids) == wanted))
+            rid = batch.column("rid").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(marked(some.value, rid ^ ((rid >> np.uint64(33)) << np.uint64(11))) == wanted))
 
     return run
 
 
 def report(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """Per document: bytes, bytes removed, maximal runs removed, and the
-    digest of what is left. Only documents with runs, as a bitmap of ids tells
-    roughly, send their texts through the join."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Per row: bytes, bytes removed, maximal runs removed, and the digest of
+    what is left. Only rows with runs, as a bitmap tells roughly, send their
+    texts through the join."""
+    texts = stored_texts(docs).df
     runs = repeats(texts, window, trigger).df
-    ids = runs.select(F.coalesce("doc_id", F.lit(0)).alias("h"))
-    marked = _bitmap(ids, ids.count())
-    schema = "doc_id bigint, text string"
-    some = texts.mapInArrow(_only(marked, True), schema)
-    named = runs.select(F.col("doc_id").alias("_id"), "runs")
-    some = some.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    rest = texts.mapInArrow(_only(marked, False), schema).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
-    return some.unionByName(rest).mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    some = bitmap(runs.select(F.expr(_ROW_HASH).alias("h")), runs.count())
+    schema = "rid bigint, doc_id bigint, text string"
+    met = texts.mapInArrow(_only(some, True), schema).join(runs, "rid", "left")
+    rest = texts.mapInArrow(_only(some, False), schema).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    return met.unionByName(rest).select("doc_id", "text", "runs").mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -27,10 +27,11 @@ are candidates, so that a large group of near copies is linked through
 neighbours, not pair by pair.
 
 Defined results: a null text counts as empty; a text without words has
-fingerprint zero, linked like any other; rows with equal or null ids each keep
-a row (the component's id is the least id that is not null, null if there is
-none); an empty table gives an empty result; extra columns are ignored by
-``components_of`` and carried by ``keep_one``.
+fingerprint zero, linked like any other; rows with equal or null ids are rows
+of their own (the component's id is the least id that is not null, null if
+there is none); an empty table gives an empty result; extra columns are ignored
+by ``components_of`` and carried by ``keep_one``, which tells rows apart by a
+stored row number, not by id.
 """
 
 from __future__ import annotations
@@ -44,13 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, slices, small_batches, whole_row
+from .common import Stored, join_counted, release, slices, with_rid
 from .components import components
 
-SAMPLE = 1 << 16
+SAMPLE = 1 << 20
 LEAF = 1024
 PIECE = 8192
-MOST_LEVELS = 20
+#: So that the least node has some 16 fingerprints of the sample.
+MOST_LEVELS = 16
+#: Row numbers, or keys, that are broadcast at the most.
+BROADCAST_ROWS = 1 << 20
 DISTANCE = 2
 SHINGLE = 3
 BANDS = 8
@@ -90,14 +94,18 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(found.view(np.int64))], ["rid", "doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+def _texts(docs: DataFrame) -> DataFrame:
+    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def fingerprints(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    return texts.mapInArrow(_fingerprints(shingle), "rid bigint, doc_id bigint, fp bigint")
 
 
 _MIX = np.random.default_rng(3).integers(1, 1 << 63, (3, 2 * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,16 +131,15 @@ def _sketches(shingle: int):
                 fps.append(simhash(hashes) if len(hashes) else 0)
                 keys.append(band_keys(own).view(np.int64) if len(own) else [])
                 sets.append(np.unique(own.astype(np.uint32)).tobytes())
-            arrays = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "keys", "shingles"])
+            arrays = [batch.column("rid"), batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "fp", "keys", "shingles"])
 
     return run
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """Fingerprint, bucket keys and set of 32-bit shingle hashes."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(shingle), "doc_id bigint, fp bigint, keys array<bigint>, shingles binary")
+    return texts.mapInArrow(_sketches(shingle), "rid bigint, doc_id bigint, fp bigint, keys array<bigint>, shingles binary")
 
 
 class VantageTree:
@@ -233,8 +240,8 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     directly or through others."""
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
     share = min(1 << 31, int(SAMPLE / max(1, n) * (1 << 31)))
-    sample = [r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < share).collect()] if levels else []
-    tree = VantageTree(np.array(sorted(sample), np.int64).view(np.uint64), levels)
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < share).select("fp").toArrow()["fp"].to_numpy() if levels else np.zeros(0, np.int64)
+    tree = VantageTree(np.sort(sample).view(np.uint64), levels)
     dealt = fps.select("fp").mapInArrow(_deal(tree, distance), "leaf bigint, fp bigint, home boolean")
     # a row for each shard that is too large, of which there are 2**levels at the most
     large = fps.select("fp").mapInArrow(_homes(tree), "leaf bigint").groupBy("leaf").count().where(F.col("count") > PIECE)
@@ -306,27 +313,42 @@ def _confirm(similar: float):
 def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
     """Links (a, b) of ``sketches`` within distance whose sets of shingles have
     at least the Jaccard similarity ``similar``."""
-    dealt = rows.select("fp", F.explode("keys").alias("leaf")).distinct()
-    sizes = dealt.groupBy("leaf").count().where("count > 1")
-    shared = Stored(dealt.join(sizes, "leaf").withColumn("home", F.lit(True)), "buckets").df
+    dealt = Stored(rows.select("fp", F.explode("keys").alias("leaf")).distinct(), "bucket-keys")
+    sizes = dealt.df.groupBy("leaf").count().where("count > 1")
+    shared = Stored(join_counted(dealt.df, sizes, ["leaf"], "count", dealt.df.count()).withColumn("home", F.lit(True)), "buckets").df
+    dealt.drop()
     large = shared.where(F.col("count") > PIECE).select("leaf", "count").distinct()
     groups = _pieced(shared, large).groupBy("leaf", "piece").agg(F.collect_list(F.struct("fp", "home")).alias("x")).select("x")
     pairs = Stored(groups.mapInArrow(_candidates(distance), "a bigint, b bigint").distinct(), "candidates").df
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = Stored(rows.select("fp", "shingles").join(wanted, "fp").groupBy("fp").agg(F.min("shingles").alias("set")), "shingle-sets").df
-    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    # of a large bucket all pair with the first, so that its set is asked for often
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    sets = Stored(rows.select("fp", "shingles").join(wanted, "fp").groupBy("fp").agg(F.min("shingles").alias("set"), F.min("n").alias("n")), "shingle-sets").df
+    n, met = 2 * pairs.count(), pairs
+    for own, name in (("a", "x"), ("b", "y")):
+        met = join_counted(met, sets.select(F.col("fp").alias(own), F.col("set").alias(name), F.col("n").alias(f"n{own}")), [own], f"n{own}", n, most=256)
     return met.select("a", "b", "x", "y").mapInArrow(_confirm(similar), "a bigint, b bigint")
 
 
+def _assigned(docs: DataFrame, distance: int, shingle: int, similar: float | None) -> DataFrame:
+    """rid, doc_id, fp, and of the row's component: component_id, the number
+    of its rows, and ``first``, the row number of its least id."""
+    texts = _texts(docs)
+    rows = Stored(fingerprints(texts, shingle) if similar is None else sketches(texts, shingle), "fingerprints").df
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    firsts = Stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints-distinct").df
+    n = firsts.count()
+    labels = components(links(firsts, n, distance) if similar is None else similar_links(rows, distance, similar))
+    named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("fps"))
+    of = join_counted(named.select("fp", "n", "label"), least, ["label"], "fps", n).select("fp", "n", "size", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first"))
+    of = Stored(of, "components").df
+    release(docs.sparkSession)
+    return join_counted(rows.select("rid", "doc_id", "fp"), of, ["fp"], "n", rows.count())
+
+
 def components_of(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every document."""
-    rows = Stored(fingerprints(docs, shingle) if similar is None else sketches(docs, shingle), "fingerprints").df
-    firsts = Stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-distinct").df
-    labels = components(links(firsts, firsts.count(), distance) if similar is None else similar_links(rows, distance, similar))
-    named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "label").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
+    return _assigned(docs, distance, shingle, similar).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -334,9 +356,10 @@ def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
-    """One document of each component, the one of the least id, with all its
-    columns. Documents without an id cannot be named and all stay."""
-    kept = components_of(docs, distance, shingle, similar).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs).alias("row"))
-    one = rows.join(kept, "doc_id").dropDuplicates(["doc_id"]).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    """One row of each component, the one of the least id, null last, with all
+    its columns. Texts are not shuffled while the rows that go are few."""
+    rows = with_rid(docs, "near-rows").df
+    found = _assigned(rows.select("rid", "row.doc_id", "row.text"), distance, shingle, similar)
+    gone = Stored(found.where((F.col("size") > 1) & (F.col("rid") != F.col("first"))).select("rid"), "near-copies").df
+    few = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select("row.*")

@@ -22,12 +22,13 @@ rarest target, so that it doesn't hold totals off. ``Rates.totals`` has totals
 beside their targets; targets out of reach (``max_rate``) stay apart there.
 
 Only DataFrame operations are used. The classifier counts a bounded sample of
-labelled rows (``max_labelled``) and keeps the ``max_words`` most telling
-words; posteriors, totals and rates cover all documents and whole texts.
+labelled rows (``max_labelled``) and keeps the ``max_words`` most telling of
+the words in at least ``least_docs`` documents whose chi-squared against the
+domains is more than ``telling``; posteriors, totals and rates cover all documents and whole texts.
 
 Defined results: a null or empty text has no tokens and the posterior of a
 text with none of the words; ids labelled more than once count once for each domain named;
-repeated rows keep a row each; without labelled documents every rate is 1;
+repeated rows keep a row each, and rows of one id are rounded alike; without labelled documents every rate is 1;
 an empty table gives an empty result; extra columns are carried by ``apply``.
 """
 
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import logging
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,6 +47,9 @@ from .common import Stored, labelled_sample, once, whole_row
 
 log = logging.getLogger(__name__)
 
+#: Parts of the table of words, by hash.
+PARTS = 64
+
 #: Newton steps at the most; a fit takes a few.
 MOST_ROUNDS = 60
 
@@ -71,9 +76,16 @@ class DomainModel:
         logits = F.array(*[F.lit(math.log(p) + a) for p, a in zip(self.priors, absent, strict=True)])
         if self.weights:
             told = sorted(self.weights)
-            table = F.create_map(*[x for w in told for x in (F.lit(w), F.array(*[F.lit(math.log(p / (1 - p))) for p in self.weights[w]]))])
+            # a literal map is searched from its start: many short ones, by CRC-32, are not
+            parts: list[list[str]] = [[] for _ in range(PARTS)]
+            for w in told:
+                parts[zlib.crc32(w.encode("utf-8", "surrogatepass")) % PARTS].append(w)
+            entry = lambda w: (F.lit(w), F.array(*[F.lit(math.log(p / (1 - p))) for p in self.weights[w]]))
+            none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))
+            table = F.array(*[F.create_map(*[x for w in p for x in entry(w)]) if p else none for p in parts])
             hits = F.array_distinct(F.filter(words, lambda w: w.isin(told)))
-            logits = F.aggregate(hits, logits, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
+            of = lambda w: F.element_at(F.get(table, (F.crc32(w.cast("binary")) % PARTS).cast("int")), w)
+            logits = F.aggregate(hits, logits, lambda acc, w: F.zip_with(acc, of(w), lambda a, b: a + b))
         top = lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a)))
         part = F.transform(F.array(logits), lambda a: F.transform(F.array(top(a)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))))
         return F.flatten(F.flatten(part))
@@ -85,7 +97,7 @@ def domain_labels(labels: DataFrame, max_labelled: int) -> DataFrame:
     return labelled_sample(labels, max_labelled).select("doc_id", domain.alias("domain"))
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, max_words: int = 400, least_docs: int = 5) -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, max_words: int = 400, least_docs: int = 5, telling: float = 30.0) -> DomainModel:
     """Fit on the documents of ``labelled`` (doc_id, domain), a table of
     bounded size, which is broadcast."""
     named = labelled.where("doc_id is not null and domain is not null").distinct().withColumnRenamed("doc_id", "_id")
@@ -104,7 +116,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, max_words: int = 400, leas
     for k, d in enumerate(domains):
         expected = F.col("n") * (counts[d] / total)
         chi = chi + F.pow(F.col(f"n{k}") - expected, 2) / expected
-    told = by_word.where(F.col("n") >= least_docs).withColumn("chi", chi).where(F.col("chi") > 30).orderBy(F.desc("chi"), "word").limit(max_words).collect()
+    told = by_word.where(F.col("n") >= least_docs).withColumn("chi", chi).where(F.col("chi") > telling).orderBy(F.desc("chi"), "word").limit(max_words).collect()
     words.drop()
     for r in told:
         model.weights[r["word"]] = [(r[f"n{k}"] + 0.5) / (counts[d] + 1.0) for k, d in enumerate(domains)]
@@ -211,15 +223,19 @@ def fit_rates(soft: DataFrame, model: DomainModel, targets: dict[str, float], an
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> tuple[DomainModel, Rates, DataFrame]:
-    """The classifier, the rates, and doc_id, _n and _p of each document."""
+    """The classifier, the rates, and ``row``, _n and _p of each document; the
+    fit reads the last two columns alone."""
     model = fit_domains(docs, labelled)
-    soft = Stored(with_posterior(docs.select("doc_id", "text"), model).drop("text"), "soft-domains").df
-    return model, fit_rates(soft, model, targets, **options), soft
+    rows = docs.select(whole_row(docs).alias("row"), "text")
+    soft = Stored(with_posterior(rows, model).select("row", "_n", "_p"), "soft-domains").df
+    return model, fit_rates(soft.select("_n", "_p"), model, targets, **options), soft
 
 
 def report(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """Tokens, posterior by domain, rate and whole copies of each document."""
-    model, rates, soft = mix(docs, labelled, targets, **options)
+    model = fit_domains(docs, labelled)
+    soft = Stored(with_posterior(docs.select("doc_id", "text"), model).drop("text"), "soft-domains").df
+    rates = fit_rates(soft.select("_n", "_p"), model, targets, **options)
     soft = soft.withColumn("rate", rates.column(F.col("_p")))
     named = [F.get("_p", model.domains.index(d)).alias(f"p_{d}") if d in model.domains else F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)]
     return soft.select("doc_id", F.col("_n").alias("n_tokens"), *named, "rate", copies(F.col("rate")).alias("copies"))
@@ -233,7 +249,6 @@ def copies(rate: Column, key: str = "doc_id") -> Column:
 
 def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The documents, each as often as its copies say, with their columns."""
-    model, rates, _ = mix(docs, labelled, targets, **options)
-    rows = docs.select(whole_row(docs).alias("row"), "doc_id", "text")
-    out = once(with_posterior(rows, model), "_c", copies(rates.column(F.col("_p"))))
+    _, rates, soft = mix(docs, labelled, targets, **options)
+    out = once(soft, "_c", copies(rates.column(F.col("_p")), "row.doc_id"))
     return out.where("_c > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select("row.*")

@@ -9,9 +9,11 @@ passages are caught; an item is found in a document if its tiles cover at
 least ``coverage`` of its words.
 
 Words are lower-cased in A-Z and lose the marks around them. An item of fewer
-than ``least`` words is matched only as a whole. Up to ``BROADCAST_WORDS``
-words of benchmark (counted first) travel with the tasks; a larger one meets
-the documents in a join of seeds.
+than ``least`` words is matched only as a whole. A benchmark of at most
+``BROADCAST_WORDS`` words and ``BROADCAST_BYTES`` bytes (counted first) travels
+with the tasks; a larger one meets the documents in a join of the hashes of
+seeds, after a bitmap of bounded size has dropped most seeds of documents that
+no item has. Both ways judge each row by its own text, whatever its id.
 
 Defined results: a null or empty text, on either side, matches nothing;
 repeated items and documents are each reported; null ids are carried along;
@@ -24,19 +26,21 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, whole_row
+from .common import Stored, bitmap, join_counted, marked, slices, with_rid
 
 LEAST = 5
 COVERAGE = 0.5
 BROADCAST_WORDS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,18 +48,36 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in out if w]
 
 
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, mod 2**64."""
+
+    def of(base: int) -> np.ndarray:
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        return np.cumprod(x, dtype=np.uint64)
+
+    return of(BASE), of(pow(BASE, -1, 1 << 64))
+
+
+class Rolling:
+    """Karp-Rabin hashes, mod 2**64, of the runs of ids at any length: sums
+    roll over the ids once, and each length takes differences of them."""
+
+    def __init__(self, ids: np.ndarray):
+        x = (ids.astype(np.int64) + 2).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        power, self.back = _powers(1 << max(1, len(ids)).bit_length())
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)]
+
+    def of(self, n: int) -> np.ndarray:
+        h = self.sums[n:] - self.sums[: max(0, len(self.sums) - n)]
+        return h * self.back[: len(h)]
+
+
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hashes, mod 2**64, of all runs of ``n`` ids."""
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    x = (ids.astype(np.int64) + 2).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(29)
-    h = np.zeros(m, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * BASE + x[k : k + m]
-    return h
+    """Karp-Rabin hashes of all runs of ``n`` ids."""
+    return Rolling(ids).of(n)
 
 
 def _free_runs(marked: np.ndarray, n: int) -> np.ndarray:
@@ -70,9 +92,9 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     Ids that differ are different words; a negative id matches nothing."""
     tiles: list[tuple[int, int, int]] = []
     done_d, done_i = doc < 0, item < 0
-    length = min(len(doc), len(item))
+    length, in_doc, in_item = min(len(doc), len(item)), Rolling(doc), Rolling(item)
     while length >= least:
-        hd, hi = rolling(doc, length), rolling(item, length)
+        hd, hi = in_doc.of(length), in_item.of(length)
         pd, pi = (np.nonzero(_free_runs(m, length))[0] for m in (done_d, done_i))
         order = pi[np.argsort(hi[pi], kind="stable")]
         a, b = (np.searchsorted(hi[order], hd[pd], side=s) for s in ("left", "right"))
@@ -144,9 +166,10 @@ class Benchmark:
     def candidates(self, ids: np.ndarray) -> set[int]:
         """Items that share a seed with a document."""
         found: set[int] = set()
+        own = Rolling(ids)
         for n, (hashes, items) in self.seeds.items():
             if len(ids) >= n:
-                run = rolling(ids, n)[_free_runs(ids < 0, n)]
+                run = own.of(n)[_free_runs(ids < 0, n)]
                 if len(run):
                     at = np.searchsorted(hashes, run).clip(max=len(hashes) - 1)
                     for h in set(run[hashes[at] == run].tolist()):
@@ -187,65 +210,80 @@ def _find(bench: Benchmark):
 
 def _small(items: DataFrame, least: int, coverage: float, most: int) -> Benchmark | None:
     """The benchmark, if it is small enough to travel with the tasks."""
-    words = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    if words > most:
+    text = F.coalesce("text", F.lit(""))
+    size = items.agg(F.sum(F.size(F.split(text, r"[\x20\x09-\x0D]+"))).alias("words"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    if (size["words"] or 0) > most or (size["bytes"] or 0) > BROADCAST_BYTES:
         return None
     return Benchmark([(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").collect()], least, coverage)
 
 
-def _seeds(least: int, key: str):
-    """(key..., seed) of each distinct run of ``least`` words, or of the whole
-    of a shorter text, by the words themselves."""
+def _seeds(lengths: list[int], least: int, whole: bool, known=None):
+    """(rid, seed): the distinct runs of words, at the lengths that items have
+    seeds of, by hash. ``whole``: of items, whose text may be shorter than
+    ``least``; else those of documents that the bitmap ``known`` lets through."""
+
+    def of(text: str | None) -> np.ndarray:
+        import xxhash
+
+        words = words_of(text)
+        ids = Rolling(np.array([xxhash.xxh64_intdigest(w) >> 2 for w in words], np.int64))
+        found = [ids.of(n) for n in ([min(least, len(words))] if whole else lengths) if 0 < n <= len(words)]
+        out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return out if known is None else out[marked(known.value, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys, seeds = [], []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = words_of(t)
-                own = {b" ".join(w[i : i + n]) for n in range(1, least + 1) for i in range(len(w) - n + 1) if n == least or key != "item_key" or n == len(w)}
-                keys += [k] * len(own)
-                seeds += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seeds, pa.binary())], [key, "seed"])
+            found = [of(t) for t in batch.column("text").to_pylist()]
+            rid = np.repeat(batch.column("rid").to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["rid", "seed"])
 
     return run
 
 
-def _find_by_join(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+def _find_by_join(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
     """Seeds meet in a shuffle; candidate pairs then fetch their texts. Rows
-    are told apart by id and text, ``doc_key``, and pairs of equal rows are
-    found once."""
-    keyed = lambda df, id_, key: df.select(F.xxhash64(id_, "text").alias(key), F.col(id_).cast("long").alias(id_), "text")
-    d, i = keyed(docs, "doc_id", "doc_key"), keyed(items, "item_id", "item_key")
-    ds = d.select("doc_key", "text").dropDuplicates(["doc_key"]).mapInArrow(_seeds(least, "doc_key"), "doc_key bigint, seed binary")
-    is_ = i.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(_seeds(least, "item_key"), "item_key bigint, seed binary")
-    pairs = ds.join(is_, "seed").select("doc_key", "item_key").distinct()
-    met = pairs.join(d, "doc_key").join(i.withColumnRenamed("text", "item_text"), "item_key").select("doc_key", "doc_id", "text", "item_id", "item_text")
+    and items are told apart by row number, which the result has as ``rid``."""
+    d = rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    i = with_rid(items.select("item_id", "text"), "items").df.select("rid", F.col("row.item_id").cast("long").alias("item_id"), F.col("row.text").alias("text"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([min(least, len(words_of(t))) for t in batch.column("text").to_pylist()], pa.int32())], ["n"])
+
+    lengths = [r["n"] for r in i.select("text").mapInArrow(sizes, "n int").where("n > 0").distinct().collect()]  # ``least`` numbers at the most
+    schema = "rid bigint, seed bigint"
+    of_items = Stored(i.select("rid", "text").mapInArrow(_seeds(lengths, least, True), schema).withColumnRenamed("rid", "item"), "item-seeds").df
+    known = bitmap(of_items.select(F.col("seed").alias("h")), of_items.count())
+    of_docs = Stored(d.select("rid", "text").mapInArrow(_seeds(lengths, least, False, known), schema), "document-seeds").df
+    # a passage that many documents share is a hot seed
+    often = of_docs.groupBy("seed").agg(F.count(F.lit(1)).alias("m"))
+    facts = of_items.groupBy("seed").agg(F.collect_set("item").alias("items")).join(often, "seed")
+    pairs = join_counted(of_docs, facts, ["seed"], "m", of_docs.count()).select("rid", F.explode("items").alias("item")).distinct()
+    met = pairs.join(d, "rid").join(i.select(F.col("rid").alias("item"), "item_id", F.col("text").alias("item_text")), "item").select("rid", "doc_id", "text", "item_id", "item_text")
 
     def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [{"doc_key": r["doc_key"], "doc_id": r["doc_id"], **x} for r in batch.to_pylist() for x in Benchmark([(r["item_id"], r["item_text"])], least, coverage).search(r["text"])]
-            yield pa.RecordBatch.from_pylist(rows, _ARROW.insert(0, pa.field("doc_key", pa.int64())))
+            found = [{"rid": r["rid"], "doc_id": r["doc_id"], **x} for r in batch.to_pylist() for x in Benchmark([(r["item_id"], r["item_text"])], least, coverage).search(r["text"])]
+            yield pa.RecordBatch.from_pylist(found, _ARROW.insert(0, pa.field("rid", pa.int64())))
 
-    return met.mapInArrow(tile_pairs, "doc_key bigint, " + PAIRS)
+    return met.mapInArrow(tile_pairs, "rid bigint, " + PAIRS)
 
 
 def find(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = COVERAGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """A row for each document and benchmark item found in it."""
-    small_batches(docs.sparkSession)
     bench = _small(items, least, coverage, broadcast_words)
     if bench is None:
-        return _find_by_join(docs, items, least, coverage).drop("doc_key")
+        return _find_by_join(with_rid(docs.select("doc_id", "text"), "tiling-rows").df, items, least, coverage).drop("rid")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(bench), PAIRS)
 
 
 def clean(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = COVERAGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    small_batches(docs.sparkSession)
+    """The rows in whose text no benchmark item is found, with all columns."""
     bench = _small(items, least, coverage, broadcast_words)
     if bench is None:
-        found = _find_by_join(docs, items, least, coverage).select("doc_key").distinct()
-        rows = docs.select(whole_row(docs).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
-        return rows.join(found, "doc_key", "left_anti").select("row.*")
+        rows = with_rid(docs, "tiling-rows").df
+        found = _find_by_join(rows, items, least, coverage).select("rid").distinct()
+        return rows.join(found, "rid", "left_anti").select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -24,6 +24,7 @@ empty table gives no blocks; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -37,8 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, small_batches
+from .common import Stored
 
+#: Rows of a part of the output, on average.
+PART_ROWS = 100_000
 #: Ids of a block, about 1 MB at 16 bits.
 BLOCK_IDS = 1 << 19
 #: Pieces whose ids a worker remembers.
@@ -49,7 +52,8 @@ PLAIN = "\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f"
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANKS = " \t\n\r"
-#: How the tokenizer splits plain text before merging: its published pattern.
+#: How byte-level tokenizers split plain text before merging: the published
+#: pattern. Files that say otherwise have their texts encoded whole.
 PIECES = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 
 
@@ -83,13 +87,24 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def splits_as_known(file: dict) -> bool:
+    """Whether a tokenizers file splits texts by the byte-level pattern, and
+    neither changes them before nor merges over pieces after."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    return (
+        file.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not file.get("truncation") and not file.get("padding")
+        and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    )
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, remembering the ids of pieces.
 
     A byte-level tokenizer merges within pieces of its split pattern only, so
     the ids of a text are those of its pieces. Texts with characters whose
     class could be told apart differently, or with a special token's string,
-    go to the library whole."""
+    go to the library whole; so do all texts where the file's own description
+    of its split, read here, is not the byte-level one without a normalizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,6 +112,8 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.size = self.whole.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = splits_as_known(json.load(f))
         self.split, self.odd = re.compile(PIECES).findall, re.compile(f"[^{PLAIN}]").search
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -106,7 +123,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if self.odd(text) or any(s in text for s in self.special):
+        if not self.by_pieces or self.odd(text) or any(s in text for s in self.special):
             return self._ids(text)
         known, pieces = self.known, self.split(text)
         try:
@@ -163,8 +180,7 @@ FILE = pa.schema(
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> Stored:
     """Encode, pack and write all documents in ascending order of doc_id."""
     spark = docs.sparkSession
-    small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     return Stored(rows.mapInArrow(_packer(tokenizer, end_id, block_ids), BLOCK_SCHEMA), "token-blocks")

@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules.
 
-Each URL is expanded into the expressions a rule could be written as: every
-suffix of its host by labels, with every prefix of its path that has the
-length of some rule's path. Expressions and rules meet in an equi-join on the
+Each URL is expanded into the expressions a rule could be written as: the
+suffixes of its host that have as many labels as some rule's host, with the
+prefixes of its path that have the length of some rule's path; so a host of
+very many labels costs no more expressions than a short one. Expressions and rules meet in an equi-join on the
 first hex digits of their SHA-256; whole digests confirm, and the longest rule
 wins. Distinct (host, path) pairs are expanded once, so that a URL repeated
 often costs one expansion and its rows meet the answer in a join that the
@@ -44,10 +45,11 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, path), 256)
 
 
-def _suffixes(host: Column) -> Column:
-    """Suffixes of a host by labels, the host itself first."""
+def _suffixes(host: Column, counts: Column) -> Column:
+    """The suffixes of a host that have one of ``counts`` labels."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+    fit = F.filter(counts, lambda n: n <= F.size(labels))
+    return F.transform(fit, lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_digits: int = 8, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -56,14 +58,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_dig
     ``rules``: r_host, r_path, rule and verdict (see ``rule_table``)."""
     parts = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rules = rules.where(F.col("r_host") != "").dropDuplicates(["r_host", "r_path", "verdict"]).withColumn("digest", _digest(F.col("r_host"), F.col("r_path")))
-    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.char_length("r_path"))).alias("lengths")).first()
-    lengths = F.array(*map(F.lit, facts["lengths"])).cast("array<int>")
+    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.char_length("r_path"))).alias("lengths"), F.sort_array(F.collect_set(F.size(F.split("r_host", r"\.", -1)))).alias("labels")).first()
+    lengths, counts = (F.array(*map(F.lit, facts[x])).cast("array<int>") for x in ("lengths", "labels"))
     side = rules.select(F.substring("digest", 1, prefix_digits).alias("prefix"), "digest", "rule", "verdict", F.char_length("r_host").alias("h"))
     if facts["n"] <= BROADCAST_RULES:
         side = F.broadcast(side)
     paths = F.filter(lengths, lambda n: n <= F.char_length("path"))
     expressions = F.flatten(
-        F.transform(_suffixes(F.col("host")), lambda h: F.transform(paths, lambda n: _digest(h, F.substring(F.col("path"), F.lit(1), n))))
+        F.transform(_suffixes(F.col("host"), counts), lambda h: F.transform(paths, lambda n: _digest(h, F.substring(F.col("path"), F.lit(1), n))))
     )
     known = (
         parts.where("host <> ''").select("host", "path").distinct()
@@ -77,4 +79,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_dig
         .agg(F.max(F.struct(rank.alias("r"), "rule", "verdict")).alias("best"))
         .select("host", "path", "best.rule", "best.verdict")
     )
-    return parts.join(best, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # pages without a host, which may be many, have no rule and need no join
+    met = parts.where("host <> ''").join(best, ["host", "path"], "left")
+    none = parts.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return met.unionByName(none).select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
