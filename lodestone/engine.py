@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import NoSuchColumn, Refused
-from .functions.predicates import TRUE, Predicate, conjuncts, implies, InQuery
+from .functions.language import as_predicate
+from .functions.predicates import TRUE, And, InQuery, Predicate, conjuncts, implies
 from .operators import statistics
 from .plans import lower
 from .plans.spec import Agg, Chain, Grouping, Query
 from .schema import Catalog, TableDef, View, table_of
 from .security import EXPLAIN, READ, ROOT, Context, Security
-from .sources import VersionedTable, load
+from .sources import VersionedTable
+from .sources.tables import raw, time_bounds, with_epoch_seconds
 
 
 @dataclass
@@ -29,11 +32,14 @@ class Explanation:
 
 @dataclass
 class Partial:
-    """A filtered copy of a table, used where a query implies its filter."""
+    """A filtered copy of a table, used where a query implies its filter, and
+    only while the table is what the copy was made from."""
 
     table: str
     predicate: Predicate
+    path: str
     df: DataFrame
+    source: object  # the frame, or the version of the store, that was copied
 
 
 @dataclass
@@ -44,6 +50,7 @@ class Engine:
     frames: dict[str, DataFrame] = field(default_factory=dict)
     stores: dict[str, VersionedTable] = field(default_factory=dict)
     partials: list[Partial] = field(default_factory=list)
+    stored: dict[str, DataFrame] = field(default_factory=dict)  # Parquet tables before conversion
     warnings: list[str] = field(default_factory=list)
 
     # --- tables ---
@@ -60,8 +67,9 @@ class Engine:
         """A Parquet table; its schema is read when it is first asked for."""
 
         def read() -> None:
-            df = load(self.spark, path)
-            self.add(table_of(name, df, primary_key, **options), df)
+            df = raw(self.spark, path)
+            self.stored[name], converted = df, with_epoch_seconds(df)
+            self.add(table_of(name, converted, primary_key, **options), converted)
 
         self.catalog.loaders[name] = read
         return self
@@ -70,13 +78,31 @@ class Engine:
         self.catalog.add_view(View(name, table, predicate))
         return self
 
-    def materialise(self, table: str, predicate: Predicate, path: str) -> Engine:
-        """Keep a partial copy; queries that imply its filter scan it instead."""
-        df = lower.filtered(self.rows(table), predicate)
-        df.write.mode("overwrite").parquet(path)
-        self.partials.append(Partial(table, predicate, self.spark.read.parquet(path)))
+    def _source(self, name: str) -> object:
+        self.catalog.table(name)
+        return self.stores[name].current if name in self.stores else self.frames[name]
+
+    def materialise(self, table: str, predicate: Predicate | str, path: str) -> Engine:
+        """Keep a partial copy; reads whose filter, or whose policy, implies its
+        filter scan it instead. A write makes the copy stale: it is then left
+        alone until ``refresh``."""
+        p = as_predicate(predicate)
+        at, source = f"{path.rstrip('/')}/{uuid.uuid4().hex}", self._source(table)
+        lower.filtered(self.rows(table), p).write.parquet(at)
+        self.partials = [x for x in self.partials if (x.table, x.predicate) != (table, p)]
+        self.partials.append(Partial(table, p, path, self.spark.read.parquet(at), source))
         return self
 
+    def refresh(self, table: str) -> Engine:
+        """Make stale partial copies of a table anew."""
+        for p in [p for p in self.partials if p.table == table and not self._fresh(p)]:
+            self.materialise(table, p.predicate, p.path)
+        return self
+
+    def _fresh(self, p: Partial) -> bool:
+        now = self._source(p.table)
+        return p.source == now if p.table in self.stores else p.source is now
+
     def rows(self, name: str, version: int | None = None) -> DataFrame:
         """All rows, in the table's shape, without regard to who asks."""
         table = self.catalog.table(name)
@@ -93,11 +119,14 @@ class Engine:
         table = self.catalog.table(name)
         self.security.authorize(ctx, name, READ)
         self.security.withhold(ctx, table, refs)
-        df = self.rows(name)
-        for p in self.partials:
-            if p.table == name and name not in self.stores and implies(filter_, p.predicate):
-                df = p.df
-        df = lower.filtered(df, self.security.row_filter(ctx, table, READ, deleted))
+        own = self.security.row_filter(ctx, table, READ, deleted)
+        sure = And((filter_, own))
+        copy = next((p.df for p in self.partials if p.table == name and implies(sure, p.predicate) and self._fresh(p)), None)
+        df = self.rows(name) if copy is None else copy
+        if copy is None and name in self.stored and self.frames[name] is df:
+            bounds = time_bounds(self.stored[name], sure)
+            df = df if bounds is None else with_epoch_seconds(self.stored[name].where(bounds))
+        df = lower.filtered(df, own)
         readable = self.security.readable(ctx, table)
         return df if readable == df.columns else df.select(*readable)
 
@@ -122,7 +151,7 @@ class Engine:
 
     def get_many(self, table: str, keys: list[tuple], ctx: Context = ROOT) -> DataFrame:
         names = self.catalog.table(table).primary_key
-        from .functions.predicates import And, Compare, In, Or
+        from .functions.predicates import Compare, In, Or
 
         if any(len(k) != len(names) for k in keys):
             raise Refused(f"the key of {table} is {', '.join(names)}")

@@ -72,13 +72,24 @@ def _compiles(java: str) -> bool:
     return True
 
 
-def replacement(text: str) -> str:
-    """``\\1`` refers to a group, ``\\\\`` is a backslash, ``$`` a dollar."""
+def groups(java: str) -> int:
+    """How many groups a pattern has, as Java counts them."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return 9
+    return spark.sparkContext._jvm.java.util.regex.Pattern.compile(java).matcher("").groupCount()
+
+
+def replacement(text: str, known: int = 9) -> str:
+    """``\\1`` refers to a group, ``\\\\`` is a backslash, ``$`` a dollar. A group
+    beyond the ``known`` ones is empty."""
     out, i = [], 0
     while i < len(text):
         c, after = text[i], text[i + 1 : i + 2]
         if c == "\\" and after.isdigit():
-            out.append(f"${after}")
+            out.append(f"${after}" if int(after) <= known else "")
             i += 2
         elif c == "\\" and after == "\\":
             out.append("\\\\")

@@ -290,7 +290,10 @@ def implies(query: Predicate, goal: Predicate) -> bool:
 
 
 def _implied(op: str, v: Any, goal: str, g: Any) -> bool:
-    """Whether x op v implies x goal g."""
+    """Whether x op v implies x goal g. Not told of NaN, which Python and the
+    engine order differently."""
+    if v != v or g != g:
+        return False
     try:
         less, same = v < g, v == g
     except TypeError:

@@ -397,7 +397,7 @@ class RegexpReplace(Scalar):
     def column(self, scope):
         self.kind(scope)
         p = patterns.regex(self.pattern)
-        return _typed_null(STR) if p is None else F.regexp_replace(self.of.column(scope), F.lit(p), F.lit(patterns.replacement(self.by)))
+        return _typed_null(STR) if p is None else F.regexp_replace(self.of.column(scope), F.lit(p), F.lit(patterns.replacement(self.by, patterns.groups(p))))
 
 
 @dataclass(frozen=True)

@@ -32,13 +32,28 @@ def aggregate(agg: Agg, scope: Scope) -> Column:
     if agg.function == "avg":
         return F.avg((c * 10**kind.scale if kind.type is ValueType.DECIMAL else c).cast("double"))
     if kind.integer:
-        return F.sum(c.cast("decimal(28,0)")).try_cast("bigint")
+        return _exact_sum(c)
     if kind.type is ValueType.DECIMAL:
         total = F.sum(c.cast(f"decimal(28,{kind.scale})"))
         return total.try_cast(f"decimal(18,{kind.scale})")
     return F.sum(c.cast("double"))
 
 
+#: Bits of the lower part of a summed integer: such parts of 2**39 rows add up
+#: within 64 bits, and the upper parts do unless the sum doesn't.
+_LOW = 24
+
+
+def _exact_sum(c: Column) -> Column:
+    """The sum of 64-bit integers, null beyond 64 bits, as two sums of 64 bits
+    that stay in generated code: decimals of such width are objects."""
+    c = c.cast("bigint")
+    low, high = F.sum(c.bitwiseAND(F.lit((1 << _LOW) - 1))), F.try_sum(F.shiftright(c, _LOW))
+    carried = high + F.shiftright(low, _LOW)
+    fits = (carried >= -(1 << (63 - _LOW))) & (carried < 1 << (63 - _LOW))
+    return F.when(fits, F.shiftleft(carried, _LOW) + low.bitwiseAND(F.lit((1 << _LOW) - 1)))
+
+
 def result_kind(agg: Agg, scope: Scope):
     if agg.function in ("count", "count_column", "count_distinct"):
         return I64

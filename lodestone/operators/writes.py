@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CheckFailed, DuplicateKey, Forbidden, ForeignKeyFailed, Refused, RowNotFound, WriteError
+from ..functions.language import as_predicate
 from ..functions.predicates import TRUE, Predicate, conjuncts
 from ..functions.scalars import Scalar
 from ..plans.lower import filtered, scope_of
@@ -84,7 +85,7 @@ class Writer:
         if must != TRUE and not df.where(~F.coalesce(must.column(scope_of(df)), F.lit(False))).isEmpty():
             raise Forbidden(f"a row that the caller may not {action} in {table.name}")
         for check in table.checks:  # Unknown passes
-            if not df.where(~check.predicate.column(scope_of(df))).isEmpty():
+            if not df.where(~as_predicate(check.predicate).column(scope_of(df))).isEmpty():
                 raise CheckFailed(f"{table.name}: check {check.name}")
         if not df.groupBy(*key).count().where("count > 1").isEmpty():
             raise DuplicateKey(f"{table.name}: a key twice in one write")
@@ -97,7 +98,7 @@ class Writer:
     def _check_unique(self, table: TableDef, df: DataFrame, others: DataFrame, index) -> None:
         cols, both = list(index.columns), df.unionByName(others)
         if index.only_where is not None:
-            both = filtered(both, index.only_where)
+            both = filtered(both, as_predicate(index.only_where))
         for c in cols:  # nulls do not collide
             both = both.where(F.col(f"`{c}`").isNotNull())
         if not both.groupBy(*cols).count().where("count > 1").isEmpty():

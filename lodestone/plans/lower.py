@@ -54,19 +54,26 @@ def _subquery(df: DataFrame, q: InQuery, run, scope: Scope) -> DataFrame:
 
 
 def computed(df: DataFrame, scalars, scope: Scope | None = None) -> DataFrame:
-    """Add values in order; one may use those before it, not those after."""
-    later = [n for n, _ in scalars]
+    """Add values in order; one may use those before it, not those after. What
+    doesn't use one another is added in one projection."""
+    later, seen = [n for n, _ in scalars], set(df.columns)
     for i, (name, s) in enumerate(scalars):
-        if name in df.columns:
+        if name in seen:
             raise Refused(f"there is a column {name} already")
         ahead = s.refs() & set(later[i:])
         if ahead:
             raise Refused(f"{name} uses {', '.join(sorted(ahead))}, computed later")
-        now = scope or scope_of(df)
-        s.kind(now)
-        df = df.withColumn(name, s.column(now))
+        seen.add(name)
+    rest = list(scalars)
+    while rest:
+        now, layer = scope or scope_of(df), {}
+        while rest and not rest[0][1].refs() & layer.keys():
+            name, s = rest.pop(0)
+            s.kind(now)
+            layer[name] = s.column(now)
+        df = df.withColumns(layer)
         if scope:
-            scope.kinds[name] = kind_of(df.schema[name].dataType)
+            scope.kinds |= {n: kind_of(f.dataType) for n, f in zip(df.columns, df.schema.fields, strict=True) if n in layer}
     return df
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from .errors import ColumnsWithheld, Forbidden, TenantRequired
+from .functions.language import as_predicate
 from .functions.predicates import FALSE, TRUE, And, Compare, IsNull, Or, Predicate
 from .schema import TableDef
 
@@ -31,14 +32,20 @@ ROOT = Context(superuser=True)
 @dataclass
 class Policy:
     """Rows that some roles may touch by some actions. ``rows`` maps a context
-    to a predicate; those of all policies that apply are joined by OR."""
+    to a predicate, or is a predicate's text, in which ``:principal`` and
+    ``:tenant`` stand for the caller's; those of all policies that apply are
+    joined by OR."""
 
     table: str
-    rows: Callable[[Context], Predicate]
+    rows: Callable[[Context], Predicate] | str
     actions: tuple[str, ...] = ACTIONS
     roles: tuple[str, ...] | None = None  # None: all
 
 
+    def bound(self, ctx: Context) -> Predicate:
+        return as_predicate(self.rows, ctx) if isinstance(self.rows, str) else self.rows(ctx)
+
+
 @dataclass
 class Security:
     grants: set[tuple[str, str, str]] = field(default_factory=set)  # role, table, action
@@ -94,6 +101,6 @@ class Security:
                 parts.append(IsNull(table.soft_delete))
         own = [p for p in self.policies if p.table == table.name]
         if own and not ctx.superuser:
-            fit = [p.rows(ctx) for p in own if action in p.actions and (p.roles is None or set(p.roles) & set(ctx.roles))]
+            fit = [p.bound(ctx) for p in own if action in p.actions and (p.roles is None or set(p.roles) & set(ctx.roles))]
             parts.append(Or(tuple(fit)) if fit else FALSE)
         return And(tuple(parts)) if parts else TRUE

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
+from ..functions.predicates import Compare, In, Predicate, conjuncts
 from ..schema import TableDef
 from ..types import adapt
 
@@ -29,7 +30,53 @@ def with_epoch_seconds(df: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table in the value model. Filters and columns are pushed down
     to the scan; timestamps are converted as they are read."""
-    return with_epoch_seconds(spark.read.parquet(path))
+    return with_epoch_seconds(raw(spark, path))
+
+
+def raw(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as it is stored. Timestamps without a zone are read as
+    those of UTC: so they are instants, whatever the session's zone, and bounds
+    on them reach the scan."""
+    seen = spark.read.parquet(path).schema
+    zoned = T.StructType([T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in seen.fields])
+    return spark.read.schema(zoned).parquet(path)
+
+
+#: Seconds that Spark's timestamp literals hold without doubt: years 1 to 9999.
+_FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799
+
+
+def time_bounds(df: DataFrame, p: Predicate) -> Column | None:
+    """What a filter in epoch seconds says of the stored timestamps and dates,
+    so that scans can skip by it: no row that the filter admits is left out.
+    Seconds are floored, so ``<= v`` is ``< v + 1`` of the instant."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.DateType))}
+    out: Column | None = None
+
+    def add(name: str, op: str, seconds: int) -> None:
+        nonlocal out
+        if not _FIRST_SECOND <= seconds <= _LAST_SECOND:
+            return
+        c = F.col(f"`{name}`")
+        if isinstance(kinds[name], T.DateType):  # a date is its midnight
+            day = F.date_add(F.lit("1970-01-01").cast("date"), seconds // 86400)
+            bound = c >= day if op == ">=" else c <= day
+        else:
+            at = F.timestamp_seconds(F.lit(seconds))
+            bound = c >= at if op == ">=" else c < at
+        out = bound if out is None else out & bound
+
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    for q in conjuncts(p):
+        if isinstance(q, Compare) and q.name in kinds and whole(q.value):
+            if q.op in ("=", ">=", ">"):
+                add(q.name, ">=", q.value + (q.op == ">"))
+            if q.op in ("=", "<=", "<"):
+                add(q.name, "<", q.value + (q.op != "<"))
+        elif isinstance(q, In) and q.name in kinds and q.values and all(map(whole, q.values)):
+            add(q.name, ">=", min(q.values))
+            add(q.name, "<", max(q.values) + 1)
+    return out
 
 
 def hits_defaults(df: DataFrame) -> DataFrame:
