@@ -173,7 +173,14 @@ class Engine:
 
     def grouped(self, q: Query, g: Grouping, ctx: Context = ROOT) -> DataFrame:
         self.security.withhold(ctx, self.catalog.table(q.table), _group_refs(g))
-        return lower.grouped(self._query(ctx, self._narrowed(q)), g)
+        bare = self._narrowed(q)
+        shifted = lower.shifted_sums(bare, g, lower.scope_of(self.rows(q.table)).bits) if q.table not in self.catalog.views else {}
+        for n, (c, _) in shifted.items():
+            if n in self.catalog.table(q.table).struct().names or n == c:
+                raise Refused(f"there is a column {n} already")
+        self.security.withhold(ctx, self.catalog.table(q.table), {c for c, _ in shifted.values()}) if shifted else None
+        bare = Query(bare.table, bare.filter, tuple((n, s) for n, s in bare.computed if n not in shifted), deleted=bare.deleted)
+        return lower.grouped(self._query(ctx, bare), g, shifted=shifted)
 
     def _chain(self, c: Chain, ctx: Context) -> lower.Joined:
         j = lower.chain(c, lambda q: self._query(ctx, q), lambda n: self.catalog.table(n).primary_key)

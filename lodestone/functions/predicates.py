@@ -18,10 +18,11 @@ OPERATORS = {"=": "eq", "<>": "ne", "!=": "ne", "<": "lt", "<=": "le", ">": "gt"
 
 
 class Scope:
-    """Names that an expression may use: their kinds and Spark columns."""
+    """Names that an expression may use: their kinds and Spark columns, and of
+    integers how many bits they need at the most, where that is known."""
 
-    def __init__(self, kinds: dict[str, Kind], columns: dict[str, str] | None = None):
-        self.kinds, self.columns = kinds, columns or {}
+    def __init__(self, kinds: dict[str, Kind], columns: dict[str, str] | None = None, bits: dict[str, int] | None = None):
+        self.kinds, self.columns, self.bits = kinds, columns or {}, bits or {}
 
     def kind(self, name: str) -> Kind:
         if name not in self.kinds:

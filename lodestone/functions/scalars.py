@@ -35,6 +35,11 @@ class Scalar:
     def column(self, scope: Scope) -> Column:
         raise NotImplementedError
 
+    def bits(self, scope: Scope) -> int | None:
+        """How many bits, with the sign, an integer result needs at the most;
+        None where that is not known."""
+        return None
+
     def parts(self) -> tuple:
         return ()
 
@@ -68,6 +73,9 @@ class Col(Scalar):
     def column(self, scope):
         return scope.column(self.name)
 
+    def bits(self, scope):
+        return scope.bits.get(self.name)
+
     def refs(self):
         return {self.name}
 
@@ -79,6 +87,9 @@ class Lit(Scalar):
     def kind(self, scope):
         return literal_kind(self.value)
 
+    def bits(self, scope):
+        return self.value.bit_length() + 1 if isinstance(self.value, int) and not isinstance(self.value, bool) else None
+
     def column(self, scope):
         kind = self.kind(scope)
         return F.lit(None) if kind is None else literal(self.value, kind)
@@ -143,6 +154,13 @@ class Arithmetic(Scalar):
             raise DecimalScale("a decimal is divided by an integer only, and divides nothing")
         return a
 
+    def bits(self, scope):
+        a, b = self.left.bits(scope), self.right.bits(scope)
+        if a is None or b is None or self.op == "/" or self.kind(scope) != I64:
+            return None
+        n = a + b if self.op == "*" else max(a, b) + 1
+        return n if n <= 64 else None
+
     def column(self, scope):
         kind, (a, b) = self.kind(scope), self._kinds(scope)
         x, y = self.left.column(scope), self.right.column(scope)
@@ -162,6 +180,8 @@ class Arithmetic(Scalar):
             x, y = x.cast("bigint"), y.cast("bigint")
             if self.op == "/":
                 return _int_div(x, y, F.lit(MIN64))
+            if self.bits(scope):  # cannot overflow
+                return x + y if self.op == "+" else x - y if self.op == "-" else x * y
             return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[self.op](x, y)
         x, y = x.cast("double"), y.cast("double")
         if self.op == "/":

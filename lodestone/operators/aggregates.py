@@ -32,7 +32,8 @@ def aggregate(agg: Agg, scope: Scope) -> Column:
     if agg.function == "avg":
         return F.avg((c * 10**kind.scale if kind.type is ValueType.DECIMAL else c).cast("double"))
     if kind.integer:
-        return _exact_sum(c)
+        # a sum of 34 bits leaves 64 bits after 2**30 rows of the greatest value
+        return F.try_sum(c.cast("bigint")) if scope.bits.get(agg.column, 64) <= 34 else _exact_sum(c)
     if kind.type is ValueType.DECIMAL:
         total = F.sum(c.cast(f"decimal(28,{kind.scale})"))
         return total.try_cast(f"decimal(18,{kind.scale})")
@@ -54,6 +55,12 @@ def _exact_sum(c: Column) -> Column:
     return F.when(fits, F.shiftleft(carried, _LOW) + low.bitwiseAND(F.lit((1 << _LOW) - 1)))
 
 
+def shifted_sum(scope: Scope, column: str, by: int) -> Column:
+    """The sum of a narrow integer column plus a number."""
+    c = scope.column(column)
+    return F.try_add(F.try_sum(c.cast("bigint")), F.try_multiply(F.count(c), F.lit(by).cast("bigint")))
+
+
 def result_kind(agg: Agg, scope: Scope):
     if agg.function in ("count", "count_column", "count_distinct"):
         return I64

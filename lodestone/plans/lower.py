@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from ..errors import NoSuchColumn, Refused, TypeMismatch
 from ..functions.predicates import TRUE, InQuery, Predicate, Scope, conjuncts
-from ..operators.aggregates import aggregate, result_kind
+from ..functions.scalars import Arithmetic, Col, Lit
+from ..operators.aggregates import aggregate, result_kind, shifted_sum
 from ..operators.ordering import after, order_columns
 from ..operators.windows import window
-from ..types import kind_of
+from ..types import I64, kind_of
 from .spec import ALGORITHMS, ALL, Chain, Grouping, Query, Sort, Step
 
 
+#: Bits of Spark's narrower integers; wider ones may say in their metadata.
+_BITS = {"byte": 8, "short": 16, "integer": 32}
+
+
+def _known_bits(fields) -> dict[str, int]:
+    found = {f.name: f.metadata.get("bits") or _BITS.get(f.dataType.typeName()) for f in fields}
+    return {n: b for n, b in found.items() if b}
+
+
 def scope_of(df: DataFrame) -> Scope:
-    return Scope({f.name: kind_of(f.dataType) for f in df.schema.fields})
+    fields = df.schema.fields
+    return Scope({f.name: kind_of(f.dataType) for f in fields}, bits=_known_bits(fields))
 
 
 def filtered(df: DataFrame, p: Predicate, run: Callable[[Query], DataFrame] | None = None, scope: Scope | None = None) -> DataFrame:
@@ -70,9 +81,11 @@ def computed(df: DataFrame, scalars, scope: Scope | None = None) -> DataFrame:
         while rest and not rest[0][1].refs() & layer.keys():
             name, s = rest.pop(0)
             s.kind(now)
-            layer[name] = s.column(now)
+            bits = s.bits(now)
+            layer[name] = s.column(now).alias(name, metadata={"bits": bits}) if bits else s.column(now)
         df = df.withColumns(layer)
         if scope:
+            scope.bits |= {n: b for n, b in _known_bits(df.schema.fields).items() if n in layer}
             scope.kinds |= {n: kind_of(f.dataType) for n, f in zip(df.columns, df.schema.fields, strict=True) if n in layer}
     return df
 
@@ -120,11 +133,28 @@ def ordered(df: DataFrame, order, scope: Scope, most: int | None, skip: int, tie
     return df if most is None else df.limit(most)
 
 
-def grouped(df: DataFrame, g: Grouping, scope: Scope | None = None) -> DataFrame:
+def shifted_sums(q: Query, g: Grouping, bits: dict[str, int]) -> dict[str, tuple[str, int]]:
+    """Values of a query that are an integer column plus a literal and that
+    nothing but sums ask for, as (column, literal): sum(c + k) is
+    sum(c) + k count(c), so that all such sums share one. ``bits``: of columns;
+    only such as cannot overflow are taken."""
+    out = {}
+    for name, s in q.computed:
+        if isinstance(s, Arithmetic) and s.op in "+-" and isinstance(s.left, Col) and isinstance(s.right, Lit) and s.left.name in bits:
+            own = s.bits(Scope({s.left.name: I64}, bits=bits)) if type(s.right.value) is int else None
+            if own and own <= 34:
+                out[name] = (s.left.name, s.right.value if s.op == "+" else -s.right.value)
+    used = set(q.filter.refs()).union(g.keys, *(s.refs() for _, s in q.computed), (a.column for a in g.aggregates if a.function != "sum"))
+    return {n: x for n, x in out.items() if n not in used}
+
+
+def grouped(df: DataFrame, g: Grouping, scope: Scope | None = None, shifted: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """Hash aggregation, HAVING, ORDER BY, OFFSET and LIMIT, in that order.
-    Null is a key; without keys there is one row, over no rows too."""
-    scope = scope or scope_of(df)
-    aggs = [aggregate(a, scope).alias(a.name) for a in g.aggregates]
+    Null is a key; without keys there is one row, over no rows too. ``shifted``:
+    see ``shifted_sums``."""
+    scope, shifted = scope or scope_of(df), shifted or {}
+    scope = Scope(scope.kinds | {n: scope.kind(c) for n, (c, _) in shifted.items()}, scope.columns, scope.bits)
+    aggs = [(shifted_sum(scope, *shifted[a.column]) if a.column in shifted else aggregate(a, scope)).alias(a.name) for a in g.aggregates]
     names = [*g.keys, *(a.name for a in g.aggregates)]
     if len(set(names)) < len(names):
         raise Refused("two results of one name")
@@ -170,9 +200,9 @@ def chain(c: Chain, run: Callable[[Query], DataFrame], key_of: Callable[[str], t
     for i, df in enumerate(frames):
         for n in df.columns:
             names.setdefault(n, []).append(i)
-    kinds, columns, ambiguous = {}, {}, {}
+    kinds, columns, ambiguous, bits = {}, {}, {}, {}
     for i, df in enumerate(frames):
-        out = []
+        out, known_bits = [], _known_bits(df.schema.fields)
         for f in df.schema.fields:
             final = f.name if len(names[f.name]) == 1 else f"{aliases[i]}_{f.name}"
             out.append(F.col(f"`{f.name}`").alias(final))
@@ -182,8 +212,9 @@ def chain(c: Chain, run: Callable[[Query], DataFrame], key_of: Callable[[str], t
             elif len(names[f.name]) > 1:
                 ambiguous[f.name] = f"{aliases[names[f.name][0]]}.{f.name}"
             kinds[final], columns[final] = kind_of(f.dataType), final
+            bits |= {n: known_bits[f.name] for n in (f"{aliases[i]}.{f.name}", final) if f.name in known_bits}
         frames[i] = df.select(*out)
-    scope, df = Scope(kinds, columns), frames[0]
+    scope, df = Scope(kinds, columns, bits), frames[0]
     known = set(aliases[:1])
     for alias, right, step in zip(aliases[1:], frames[1:], c.steps, strict=True):
         df = _step(df, right, step, scope, alias, known)
