@@ -17,6 +17,7 @@ from ..plans.lower import filtered, scope_of
 from ..schema import CREATED, UPDATED, ForeignKey, TableDef
 from ..security import DELETE, INSERT, READ, UPDATE
 from ..sources.tables import memory
+from ..sources.versioned import publish
 
 #: Rows that a cascade may delete.
 MOST_CASCADED = 10_000
@@ -35,6 +36,7 @@ class Writer:
     def __init__(self, engine, ctx, clock=None):
         self.engine, self.ctx, self.clock = engine, ctx, clock or (lambda: int(time.time()))
         self.staged: dict[str, DataFrame] | None = None
+        self.added: dict[str, DataFrame | None] = {}  # of a batch: rows added to a table, None if it is rewritten
         self._expected: dict[str, int] = {}
 
     # --- the current rows, and the next version ---
@@ -52,12 +54,17 @@ class Writer:
             return self.engine.rows(name, self._expected[name])
         return self.engine.rows(name)
 
-    def _publish(self, name: str, df: DataFrame) -> int:
+    def _publish(self, name: str, df: DataFrame, added: DataFrame | None = None) -> int:
+        """``df``: all rows from now on; ``added``: those that are new, where
+        the others stay as they are, so that a store need write no more."""
         if self.staged is not None:
-            self.staged[name] = df
+            before = self.added.get(name) if name in self.staged else None
+            both = added if name not in self.staged else None if added is None or before is None else before.unionByName(added)
+            self.staged[name], self.added[name] = df, both
             return 0
         if name in self.engine.stores:
-            return self.engine.stores[name].write(df, self._expected.pop(name, None))
+            store, expected = self.engine.stores[name], self._expected.pop(name, None)
+            return store.write(df, expected) if added is None else store.append(added, expected)
         self.engine.frames[name] = df
         return 0
 
@@ -77,16 +84,18 @@ class Writer:
 
     def _check_rows(self, table: TableDef, df: DataFrame, action: str, others: DataFrame) -> None:
         """``others``: the rows that stay as they are beside ``df``."""
-        key = list(table.primary_key)
-        for c in table.live:
-            if not c.nullable and not df.where(F.col(f"`{c.name}`").isNull()).isEmpty():
-                raise CheckFailed(f"{table.name}.{c.name} is required")
+        key, scope = list(table.primary_key), scope_of(df)
         must = self.engine.security.row_filter(self.ctx, table, action)
-        if must != TRUE and not df.where(~F.coalesce(must.column(scope_of(df)), F.lit(False))).isEmpty():
-            raise Forbidden(f"a row that the caller may not {action} in {table.name}")
+        # one pass for all that is asked of single rows: how many fail each
+        asked: list[tuple[Exception, Any]] = [(CheckFailed(f"{table.name}.{c.name} is required"), F.col(f"`{c.name}`").isNull()) for c in table.live if not c.nullable]
+        if must != TRUE:
+            asked.append((Forbidden(f"a row that the caller may not {action} in {table.name}"), ~F.coalesce(must.column(scope), F.lit(False))))
         for check in table.checks:  # Unknown passes
-            if not df.where(~as_predicate(check.predicate).column(scope_of(df))).isEmpty():
-                raise CheckFailed(f"{table.name}: check {check.name}")
+            asked.append((CheckFailed(f"{table.name}: check {check.name}"), ~as_predicate(check.predicate).column(scope)))
+        failed = df.agg(*[F.coalesce(F.bool_or(F.coalesce(bad, F.lit(False))), F.lit(False)).alias(f"f{i}") for i, (_, bad) in enumerate(asked)]).first() if asked else ()
+        for (error, _), bad in zip(asked, failed, strict=True):
+            if bad:
+                raise error
         if not df.groupBy(*key).count().where("count > 1").isEmpty():
             raise DuplicateKey(f"{table.name}: a key twice in one write")
         for i in table.indexes:
@@ -131,7 +140,7 @@ class Writer:
         self._check_rows(table, df, INSERT, now)
         if not df.join(now, list(table.primary_key), "left_semi").isEmpty():  # hidden rows collide too
             raise DuplicateKey(f"{name}: a row of this key is there")
-        return self._publish(name, now.unionByName(df))
+        return self._publish(name, now.unionByName(df), df)
 
     def _replace(self, table: TableDef, df: DataFrame, action: str) -> int:
         now, key = self._now(table.name), list(table.primary_key)
@@ -305,14 +314,18 @@ class Writer:
             raise Refused(f"a batch has {MOST_BATCHED} operations at the most")
         out: list[Any] = []
         if all_or_nothing:
-            self.staged = {}
+            self.staged, self.added = {}, {}
             try:
                 out = [getattr(self, m)(*args) for m, args in operations]
-                done = self.staged
+                done, added = self.staged, self.added
             finally:
                 self.staged = None
-            for name, df in done.items():
-                self._publish(name, df)
+            stored = [n for n in done if n in self.engine.stores]
+            if stored:
+                change = lambda n, store, before: (store, done[n], before, False) if added[n] is None or not store.room(before) else (store, added[n], before, True)
+                publish([change(n, self.engine.stores[n], self._expected.pop(n)) for n in stored])
+            for name in done.keys() - set(stored):
+                self._publish(name, done[name])
             return out
         for m, args in operations:
             try:
