@@ -364,20 +364,23 @@ def repeats(texts: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> S
     crowded = bitmap(crowd, crowd.count())
     several.drop()
     in_question.drop()
+    whole = Stored(_later(phrases.df, first.where("m > 1"), phrases.df.count(), F.col("count") + (window - 1)), "phrase-runs")
+    phrases.drop()
+    firsts.drop()
+    release(spark)
     dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, k2 bigint, t bigint, doc_id bigint, rid bigint, start bigint, left int, body binary"), "dictionary")
     entries, suffixes = dictionary.df.where("body is not null").drop("k", "k2"), dictionary.df.where("body is null").drop("left", "body")
     release(spark)
 
-    whole = _later(phrases.df, first.where("m > 1"), phrases.df.count(), F.col("count") + (window - 1))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dictionary.df.count() // TASK_PHRASES)
     parts = entries.repartition(n, "t").sortWithinPartitions("t").mapInArrow(_order(window, trigger), "rid bigint, start bigint, end bigint")
-    found = whole.unionByName(parts)
+    found = whole.df.unionByName(parts)
     crowd_rows = suffixes.count()
     if crowd_rows:
         crowd_firsts = suffixes.groupBy(*KEY).agg(one, F.min(place).alias("first")).where("m > 1")
         found = found.unionByName(_later(suffixes, crowd_firsts, crowd_rows, F.lit(window)))
     runs = Stored(found.groupBy("rid").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
-    for done in (phrases, firsts, dictionary):
+    for done in (whole, dictionary):
         done.drop()
     for bits in (repeated, asked, crowded):
         bits.destroy()
