@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, join_counted, release, slices, with_rid
+from .common import Stored, bitmap, drop_stored, join_counted, marked, release, slices, with_rid
 from .components import components
 
 SAMPLE = 1 << 20
@@ -310,6 +310,16 @@ def _confirm(similar: float):
     return run
 
 
+def _among(asked):
+    """The rows whose fingerprint a bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(asked.value, batch.column("fp").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
     """Links (a, b) of ``sketches`` within distance whose sets of shingles have
     at least the Jaccard similarity ``similar``."""
@@ -317,12 +327,17 @@ def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
     sizes = dealt.df.groupBy("leaf").count().where("count > 1")
     shared = Stored(join_counted(dealt.df, sizes, ["leaf"], "count", dealt.df.count()).withColumn("home", F.lit(True)), "buckets").df
     dealt.drop()
+    release(rows.sparkSession)
     large = shared.where(F.col("count") > PIECE).select("leaf", "count").distinct()
     groups = _pieced(shared, large).groupBy("leaf", "piece").agg(F.collect_list(F.struct("fp", "home")).alias("x")).select("x")
     pairs = Stored(groups.mapInArrow(_candidates(distance), "a bigint, b bigint").distinct(), "candidates").df
+    release(rows.sparkSession)
     # of a large bucket all pair with the first, so that its set is asked for often
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    sets = Stored(rows.select("fp", "shingles").join(wanted, "fp").groupBy("fp").agg(F.min("shingles").alias("set"), F.min("n").alias("n")), "shingle-sets").df
+    wanted = Stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "wanted").df
+    asked = bitmap(wanted.select(F.col("fp").alias("h")), wanted.count())
+    own = rows.select("fp", "shingles").mapInArrow(_among(asked), "fp bigint, shingles binary")  # sets that nobody asks for aren't shuffled
+    sets = Stored(own.groupBy("fp").agg(F.min("shingles").alias("set")).join(wanted, "fp"), "shingle-sets").df
+    release(rows.sparkSession)
     n, met = 2 * pairs.count(), pairs
     for own, name in (("a", "x"), ("b", "y")):
         met = join_counted(met, sets.select(F.col("fp").alias(own), F.col("set").alias(name), F.col("n").alias(f"n{own}")), [own], f"n{own}", n, most=256)
@@ -358,8 +373,12 @@ def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """One row of each component, the one of the least id, null last, with all
     its columns. Texts are not shuffled while the rows that go are few."""
-    rows = with_rid(docs, "near-rows").df
+    kept = with_rid(docs, "near-rows")
+    rows, others = kept.df, {x.path for x in Stored.kept}
     found = _assigned(rows.select("rid", "row.doc_id", "row.text"), distance, shingle, similar)
-    gone = Stored(found.where((F.col("size") > 1) & (F.col("rid") != F.col("first"))).select("rid"), "near-copies").df
+    copies = Stored(found.where((F.col("size") > 1) & (F.col("rid") != F.col("first"))).select("rid"), "near-copies")
+    drop_stored(others | {copies.path})
+    release(docs.sparkSession)
+    gone = copies.df
     few = gone.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select("row.*")
