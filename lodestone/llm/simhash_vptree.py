@@ -12,9 +12,9 @@ two shards only in the later one; in a shard all pairs are compared exactly.
 
 The tree is built from a bounded sample (``SAMPLE``); every fingerprint is
 indexed. Equal fingerprints are one entry. Shards of more than ``PIECE``
-entries are compared in pieces, each with itself and each later one, so that
-no task meets an unbounded group. A shard returns a spanning forest of its
-links, never all pairs.
+entries are compared in tiles, each of two pieces, so that no task meets an
+unbounded group. A shard returns a spanning forest of its links, never all
+pairs.
 
 With ``similar`` a link also needs that Jaccard similarity of the two sets of
 shingles. Similarity 0.8 is about 10 of 64 bits and often 16, a radius at which
@@ -24,7 +24,10 @@ each (of pairs at 0.8, all but 0.36 ** 8 = 0.03 % share one), and sets of
 shingle hashes are compared exactly. In a bucket a fingerprint is compared with
 all others, and its ``NEAREST`` nearest and the bucket's first within distance
 are candidates, so that a large group of near copies is linked through
-neighbours, not pair by pair.
+neighbours, not pair by pair. What this leaves out is then compared too: rows
+of a bucket of more than ``NEAREST`` others that are still in different
+components, and within distance of one another, have all their sets compared
+(``rest_links``), so that no link between components is lost.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, linked like any other; rows with equal or null ids are rows
@@ -59,6 +62,8 @@ DISTANCE = 2
 SHINGLE = 3
 BANDS = 8
 NEAREST = 8
+#: Bytes of shingle sets in a piece of a bucket whose sets are all compared.
+PIECE_BYTES = 16 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -204,15 +209,16 @@ def _deal(tree: VantageTree, distance: int):
     return run
 
 
-def close_links(members: np.ndarray, others: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among members, and of others to members.
+def close_links(members: np.ndarray, others: np.ndarray, distance: int, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among members (unless they are compared
+    elsewhere), and of others to members.
 
     Members and others hold each value once and share none."""
     x = np.concatenate([members, others])
     root = np.arange(len(x))
     links: list[tuple[int, int]] = []
     step = max(1, (1 << 21) // max(1, len(members)))
-    for at in range(0, len(x), step):
+    for at in range(0 if among else len(members), len(x), step):
         near = np.bitwise_count(x[at : at + step, None] ^ members[None, :]) <= distance
         for i in np.nonzero(near.sum(axis=1) > 1)[0] if at + step <= len(members) else np.nonzero(near.any(axis=1))[0]:
             found = np.unique(root[np.nonzero(near[i])[0]])
@@ -225,11 +231,21 @@ def close_links(members: np.ndarray, others: np.ndarray, distance: int) -> tuple
     return x[a], x[b]
 
 
+def _sides(x: np.ndarray, home: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """What a tile has to compare: members, others, and whether the members
+    among themselves. A tile of two pieces leaves out what is inside of each."""
+    for one, two, among in ((low, low, True),) if low.all() else ((low, ~low, False), (~low, low & ~home, False)):
+        members = np.unique(x[one & home])
+        others = np.setdiff1d(x[two & ~home] if among else x[two], members)
+        if len(members):
+            yield members, others, among
+
+
 def _compare(distance: int):
     def run(group: pa.Table) -> pa.Table:
-        x, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy()
-        members = np.unique(x[home])
-        a, b = close_links(members, np.setdiff1d(x[~home], members), distance)
+        x, home, low = (group.column(c).to_numpy() for c in ("fp", "home", "low"))
+        found = [close_links(members, others, distance, among) for members, others, among in _sides(x.view(np.uint64), home, low)]
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *(f[k].astype(np.uint64) for f in found)]) for k in (0, 1))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
@@ -245,16 +261,17 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     dealt = fps.select("fp").mapInArrow(_deal(tree, distance), "leaf bigint, fp bigint, home boolean")
     # a row for each shard that is too large, of which there are 2**levels at the most
     large = fps.select("fp").mapInArrow(_homes(tree), "leaf bigint").groupBy("leaf").count().where(F.col("count") > PIECE)
-    return _pieced(dealt, large).groupBy("leaf", "piece").applyInArrow(_compare(distance), "a bigint, b bigint")
+    dealt = dealt.join(F.broadcast(large), "leaf", "left").withColumn("pieces", F.ceil(F.coalesce("count", F.lit(1)) / PIECE))
+    return _tiled(dealt).groupBy("leaf", "lo", "hi").applyInArrow(_compare(distance), "a bigint, b bigint")
 
 
-def _pieced(dealt: DataFrame, large: DataFrame) -> DataFrame:
-    """Cut the ``large`` leaves into pieces, each beside every later one."""
-    large = large.select("leaf", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    dealt = dealt.join(F.broadcast(large), "leaf", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.when(F.col("home"), own).otherwise(F.lit(0)))
-    dealt = dealt.select("leaf", "fp", "home", "own", F.explode(F.sequence("own", F.col("pieces") - 1)).alias("piece"))
-    return dealt.select("leaf", "piece", "fp", (F.col("home") & (F.col("own") == F.col("piece"))).alias("home"))
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Cut each leaf into its number of ``pieces``: a row goes to the tiles
+    (lo, hi) of its own piece with each piece; ``low`` if its own is ``lo``."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    tiled = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1)).alias("other"))
+    tiled = tiled.select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("low"))
+    return tiled.drop("own", "other", "pieces")
 
 
 def _homes(tree: VantageTree):
@@ -265,30 +282,29 @@ def _homes(tree: VantageTree):
     return run
 
 
-def near_pairs(members: np.ndarray, others: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(members: np.ndarray, others: np.ndarray, distance: int, among: bool = True, nearest: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of a bucket: of each value the nearest members within
     distance, and the first."""
     x = np.concatenate([members, others])
     step = max(1, (1 << 21) // max(1, len(members)))
-    for at in range(0, len(x), step):
+    for at in range(0 if among else len(members), len(x), step):
         apart = np.bitwise_count(x[at : at + step, None] ^ members[None, :])
         own = np.arange(at, min(at + step, len(members)))
         apart[own - at, own] = 65
-        most = min(NEAREST, len(members))
+        most = min(nearest, len(members))
         near = np.argpartition(apart, most - 1, axis=1)[:, :most]
         near = np.c_[near, (apart <= distance).argmax(axis=1)]
         row, k = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
         yield x[at + row], members[near[row, k]]
 
 
-def _candidates(distance: int):
+def _candidates(distance: int, nearest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in batch.column("x"):
-                fp, home = (v.to_numpy(zero_copy_only=False) for v in group.values.flatten())
-                fp = fp.view(np.uint64)
-                if home.any():
-                    for a, b in near_pairs(np.sort(fp[home]), np.sort(fp[~home]), distance):
+                fp, low = (v.to_numpy(zero_copy_only=False) for v in group.values.flatten())
+                for members, others, among in _sides(fp.view(np.uint64), np.ones(len(fp), bool), low):
+                    for a, b in near_pairs(members, others, distance, among, nearest):
                         a, b = a.view(np.int64), b.view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -320,17 +336,85 @@ def _among(asked):
     return run
 
 
-def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
+def _parted(distance: int, similar: float):
+    """Rows (leaf, fp) of a tile that are within distance of one of another
+    component whose set is of a size that ``similar`` allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaf, group in zip(batch.column("leaf").to_pylist(), batch.column("x"), strict=True):
+                fp, label, size, low = (v.to_numpy(zero_copy_only=False) for v in group.values.flatten())
+                if (label == label[0]).all():
+                    continue
+                one, two = np.nonzero(low)[0], np.arange(len(fp)) if low.all() else np.nonzero(~low)[0]
+                step, parted, x = max(1, (1 << 21) // max(1, len(two))), np.zeros(len(fp), bool), fp.view(np.uint64)
+                for at in range(0, len(one), step):
+                    i = one[at : at + step, None]
+                    met = (label[i] != label[two]) & (np.bitwise_count(x[i] ^ x[two]) <= distance)
+                    met &= np.minimum(size[i], size[two]) >= similar * np.maximum(size[i], size[two])
+                    parted[one[at : at + step]] |= met.any(axis=1)
+                    parted[two] |= met.any(axis=0)
+                found = fp[parted]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), leaf)), pa.array(found)], ["leaf", "fp"])
+
+    return run
+
+
+def set_links(x: np.ndarray, label: np.ndarray, sets: list[np.ndarray], low: np.ndarray, distance: int, similar: float) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the links between rows: those
+    marked ``low`` with the others, or among themselves if all are."""
+    one, two = np.nonzero(low)[0], np.arange(len(x)) if low.all() else np.nonzero(~low)[0]
+    if not len(one) or not len(two):
+        return []
+    sizes = np.array([len(v) for v in sets])
+    owners, values = np.repeat(np.arange(len(two)), sizes[two]), np.concatenate([sets[i] for i in two])
+    order = np.argsort(values, kind="stable")
+    owners, values = owners[order], values[order]
+    root = np.unique(label, return_inverse=True)[1]
+    found, step = [], max(1, (1 << 21) // len(two))
+    for i in one:
+        asked = (root[two] != root[i]) & (np.bitwise_count(x[two] ^ x[i]) <= distance)
+        if not asked.any():
+            continue
+        both = np.zeros(len(two), np.int64)
+        for at in range(0, sizes[i], step):  # a value is in each set once at the most
+            part = sets[i][at : at + step]
+            first, last = np.searchsorted(values, part, "left"), np.searchsorted(values, part, "right")
+            n = last - first
+            both += np.bincount(owners[np.repeat(first - (n.cumsum() - n), n) + np.arange(n.sum())], minlength=len(two))
+        for k in np.nonzero(asked & (both >= similar * (sizes[two] + sizes[i] - both)))[0]:
+            j = two[k]
+            if root[i] != root[j]:
+                found.append((int(i), int(j)))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def _compare_sets(distance: int, similar: float):
+    def run(group: pa.Table) -> pa.Table:
+        fp, label, low = (group.column(c).to_numpy() for c in ("fp", "label", "low"))
+        sets = [np.frombuffer(v.as_py(), np.uint32) for v in group.column("set")]
+        found = np.array(set_links(fp.view(np.uint64), label, sets, low, distance, similar), np.int64).reshape(-1, 2)
+        return pa.table({"a": fp[found[:, 0]], "b": fp[found[:, 1]]})
+
+    return run
+
+
+def _tile_lists(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("leaf", "lo", "hi").agg(F.collect_list(F.struct(*columns, "low")).alias("x"))
+
+
+def similar_links(rows: DataFrame, distance: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) of ``sketches`` within distance whose sets of shingles have
-    at least the Jaccard similarity ``similar``."""
+    at least the Jaccard similarity ``similar``: of each, those to its nearest
+    in a bucket. With them the buckets and the sets, for ``rest_links``."""
     dealt = Stored(rows.select("fp", F.explode("keys").alias("leaf")).distinct(), "bucket-keys")
     sizes = dealt.df.groupBy("leaf").count().where("count > 1")
-    shared = Stored(join_counted(dealt.df, sizes, ["leaf"], "count", dealt.df.count()).withColumn("home", F.lit(True)), "buckets").df
+    shared = Stored(join_counted(dealt.df, sizes, ["leaf"], "count", dealt.df.count()).withColumn("pieces", F.ceil(F.col("count") / PIECE)), "buckets").df
     dealt.drop()
     release(rows.sparkSession)
-    large = shared.where(F.col("count") > PIECE).select("leaf", "count").distinct()
-    groups = _pieced(shared, large).groupBy("leaf", "piece").agg(F.collect_list(F.struct("fp", "home")).alias("x")).select("x")
-    pairs = Stored(groups.mapInArrow(_candidates(distance), "a bigint, b bigint").distinct(), "candidates").df
+    groups = _tile_lists(_tiled(shared), "fp").select("x")
+    pairs = Stored(groups.mapInArrow(_candidates(distance, NEAREST), "a bigint, b bigint").distinct(), "candidates").df
     release(rows.sparkSession)
     # of a large bucket all pair with the first, so that its set is asked for often
     wanted = Stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "wanted").df
@@ -341,7 +425,32 @@ def similar_links(rows: DataFrame, distance: int, similar: float) -> DataFrame:
     n, met = 2 * pairs.count(), pairs
     for own, name in (("a", "x"), ("b", "y")):
         met = join_counted(met, sets.select(F.col("fp").alias(own), F.col("set").alias(name), F.col("n").alias(f"n{own}")), [own], f"n{own}", n, most=256)
-    return met.select("a", "b", "x", "y").mapInArrow(_confirm(similar), "a bigint, b bigint")
+    return met.select("a", "b", "x", "y").mapInArrow(_confirm(similar), "a bigint, b bigint"), shared, sets
+
+
+def rest_links(shared: DataFrame, sets: DataFrame, labels: DataFrame, distance: int, similar: float) -> DataFrame | None:
+    """Links between the components ``labels`` (node, label) that nearest
+    neighbours missed, or None. Where a bucket has at most ``NEAREST`` others,
+    all pairs have been compared already. A fingerprint is in ``BANDS`` buckets
+    at the most, so that no join here has a hot key but that by bucket."""
+    facts = sets.join(labels, sets["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), F.length("set").alias("size"))
+    named = shared.where(F.col("count") > NEAREST + 1).join(facts, "fp")
+    parted = _tile_lists(_tiled(named), "fp", "label", "size").mapInArrow(_parted(distance, similar), "leaf bigint, fp bigint").distinct()
+    parted = Stored(parted.join(facts, "fp"), "parted")
+    n = parted.df.count()
+    if not n:
+        parted.drop()
+        return None
+    sizes = parted.df.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / PIECE_BYTES).alias("pieces"))
+    asked = join_counted(parted.df, sizes, ["leaf"], "n", n).join(sets.select("fp", "set"), "fp")
+    return _tiled(asked.select("leaf", "fp", "label", "set", "pieces")).groupBy("leaf", "lo", "hi").applyInArrow(_compare_sets(distance, similar), "a bigint, b bigint")
+
+
+def _similar_components(rows: DataFrame, distance: int, similar: float) -> DataFrame:
+    found, shared, sets = similar_links(rows, distance, similar)
+    labels = components(found)
+    rest = rest_links(shared, sets, labels, distance, similar)
+    return labels if rest is None else components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
 
 
 def _assigned(docs: DataFrame, distance: int, shingle: int, similar: float | None) -> DataFrame:
@@ -352,7 +461,7 @@ def _assigned(docs: DataFrame, distance: int, shingle: int, similar: float | Non
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     firsts = Stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints-distinct").df
     n = firsts.count()
-    labels = components(links(firsts, n, distance) if similar is None else similar_links(rows, distance, similar))
+    labels = components(links(firsts, n, distance)) if similar is None else _similar_components(rows, distance, similar)
     named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("fps"))
     of = join_counted(named.select("fp", "n", "label"), least, ["label"], "fps", n).select("fp", "n", "size", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first"))

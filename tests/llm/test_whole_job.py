@@ -110,3 +110,67 @@ def test_only_rows_that_hold_an_item_go(spark, most):
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     left = string_tiling.clean(docs, items, broadcast_words=most)
     assert Counter(map(tuple, left.collect())) == Counter([(1, "clean text"), (None, "also clean"), (2, None)]) and left.columns == docs.columns
+
+
+def components_by_pairs(texts, similar=0.8):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("piece,piece_bytes", [(1 << 13, 1 << 24), (16, 1 << 24), (16, 1 << 12)])
+def test_links_beyond_the_nearest_are_found(monkeypatch, spark, piece, piece_bytes):
+    for name, value in (("NEAREST", 1), ("PIECE", piece), ("PIECE_BYTES", piece_bytes)):
+        monkeypatch.setattr(simhash_vptree, name, value)
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(6):  # close pairs: the nearest is the twin, other pairs are told by their sets alone
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(int(rng.integers(3, 12))):
+            near = edited(base, int(rng.integers(3, 8)), rng)
+            texts += [" ".join(near), " ".join(near[:-1] + [f"end{rng.integers(1 << 30)}"])]
+    label = components_by_pairs(texts)
+    want = {label.index(x) for x in set(label)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()} == want
+    with monkeypatch.context() as m:  # the nearest alone don't join them
+        m.setattr(simhash_vptree, "rest_links", lambda *a: None)
+        assert len(corpus_pipeline.dedup(spark, docs, "").collect()) > len(want)
+
+
+def test_set_links_join_what_pairs_join():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint32)) for _ in range(60)]
+    x, low = rng.integers(0, 1 << 4, 60).astype(np.uint64), np.arange(60) % 3 > 0
+    for mark in (low, np.ones(60, bool)):
+        want, got = list(range(60)), list(range(60))
+        for i in range(60):
+            for j in range(60):
+                crossed = mark.all() or mark[i] != mark[j]
+                if crossed and bin(int(x[i] ^ x[j])).count("1") <= 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])):
+                    want = [want[j] if v == want[i] else v for v in want]
+        for i, j in simhash_vptree.set_links(x, np.arange(60), sets, mark, 2, 0.5):
+            got = [got[j] if v == got[i] else v for v in got]
+        assert len({*zip(want, got, strict=True)}) == len(set(want)) == len(set(got)) > 1
+
+
+@pytest.mark.parametrize("piece", [1 << 13, 40])
+def test_tiles_of_a_large_shard_link_all(monkeypatch, spark, piece):
+    monkeypatch.setattr(simhash_vptree, "PIECE", piece)
+    monkeypatch.setattr(simhash_vptree, "LEAF", 100)
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(9)])).view(np.int64)
+    df = spark.createDataFrame([(int(v),) for v in fps], "fp bigint")
+    got = list(range(len(fps)))
+    at = {int(v): i for i, v in enumerate(fps)}
+    for r in simhash_vptree.links(df, len(fps)).collect():
+        assert ((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2
+        got = [got[at[r.b]] if v == got[at[r.a]] else v for v in got]
+    x = fps.view(np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
+    assert all(got[i] == got[j] for i, j in zip(*np.nonzero(near), strict=True))
