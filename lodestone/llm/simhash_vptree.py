@@ -45,7 +45,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, bitmap, drop_stored, join_counted, marked, release, slices, with_rid
@@ -104,8 +104,7 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+def _texts(docs: DataFrame, rid: Column) -> DataFrame:
     return docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
@@ -453,10 +452,10 @@ def _similar_components(rows: DataFrame, distance: int, similar: float) -> DataF
     return labels if rest is None else components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
 
 
-def _assigned(docs: DataFrame, distance: int, shingle: int, similar: float | None) -> DataFrame:
-    """rid, doc_id, fp, and of the row's component: component_id, the number
-    of its rows, and ``first``, the row number of its least id."""
-    texts = _texts(docs)
+def _assigned(texts: DataFrame, distance: int, shingle: int, similar: float | None) -> DataFrame:
+    """Of rows (rid, doc_id, text): rid, doc_id, fp, and of the row's component
+    component_id, the number of its rows, and ``first``, the row number of its
+    least id."""
     rows = Stored(fingerprints(texts, shingle) if similar is None else sketches(texts, shingle), "fingerprints").df
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     firsts = Stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints-distinct").df
@@ -466,13 +465,13 @@ def _assigned(docs: DataFrame, distance: int, shingle: int, similar: float | Non
     least = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("fps"))
     of = join_counted(named.select("fp", "n", "label"), least, ["label"], "fps", n).select("fp", "n", "size", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first"))
     of = Stored(of, "components").df
-    release(docs.sparkSession)
+    release(texts.sparkSession)
     return join_counted(rows.select("rid", "doc_id", "fp"), of, ["fp"], "n", rows.count())
 
 
 def components_of(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every document."""
-    return _assigned(docs, distance, shingle, similar).select("doc_id", "fp", "component_id")
+    return _assigned(_texts(docs, F.monotonically_increasing_id()), distance, shingle, similar).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -484,7 +483,7 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE,
     its columns. Texts are not shuffled while the rows that go are few."""
     kept = with_rid(docs, "near-rows")
     rows, others = kept.df, {x.path for x in Stored.kept}
-    found = _assigned(rows.select("rid", "row.doc_id", "row.text"), distance, shingle, similar)
+    found = _assigned(_texts(rows.select("rid", "row.doc_id", "row.text"), F.col("rid")), distance, shingle, similar)
     copies = Stored(found.where((F.col("size") > 1) & (F.col("rid") != F.col("first"))).select("rid"), "near-copies")
     drop_stored(others | {copies.path})
     release(docs.sparkSession)
