@@ -7,10 +7,12 @@ import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,8 +121,12 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so
     when the driver's garbage is collected, which may be long after the disks
-    of the executors are full."""
+    of the executors are full. Spark's listeners hold on to the last step until
+    they are told of another."""
     gc.collect()
+    spark.sql("SELECT 1").collect()
+    with suppress(Py4JError):  # still busy after 10 s
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -24,12 +24,20 @@ only under a trigger that occurs twice, so:
 
 So windows are compared by their bytes. Phrases are told apart by 128 bits of
 two rolling hashes with different tables, and their trigger's hash. A trigger
-with more than ``MOST_PHRASES`` phrases is no group of one task: its windows
-become rows, told apart like phrases, and the least place of each is combined
-before it is shuffled. Phrases and windows that a large share of the rows have
-are joined by broadcast. Which triggers to look at travels to the next pass
-over the texts as bitmaps of bounded size, which may let too much through but
-never too little.
+with more than ``MOST_PHRASES`` phrases is no group of one task. A window holds
+half of its other bytes before the trigger, or more than the other half after
+it: its phrases are cut into two that share a window - 1 bytes at most, one
+grouped by the half before and one by the half after; all but the first of
+equal parts are repeats as a whole. Of groups that are still too large the
+windows become rows, told apart like phrases, and the least place
+of each is combined before it is shuffled. Phrases and windows that a large
+share of the rows have are joined by broadcast. Which triggers to look at
+travels to the next pass over the texts as bitmaps of bounded size, which may
+let too much through but never too little.
+
+What is shuffled is bounded: phrases are brought together, and the dictionary
+is ordered, in rounds by hash, each with its own part of the keys and all rows
+of it, and what a round has shuffled is freed before the next.
 
 Defined results: a null text counts as empty; matches never cross documents;
 documents come in order of id, null first, and rows of one id, or of none, in
@@ -41,14 +49,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, bitmap, join_counted, marked, release
+from .common import Stored, bitmap, join_counted, marked, release, slices
 
 WINDOW = 100
 TRIGGER = 20
@@ -58,6 +66,11 @@ CHUNK = 1 << 18
 MOST_PHRASES = 2000
 #: Phrases of the dictionary that a task orders, on average.
 TASK_PHRASES = 200_000
+#: Phrases, and phrases of the dictionary, that a round shuffles: some 1 GB
+#: each. From ``MOST_ROUNDS`` on rounds grow instead.
+ROUND_PHRASES = 1 << 25
+ROUND_ENTRIES = 1 << 23
+MOST_ROUNDS = 16
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xD6E8FEB86659FD93
@@ -153,7 +166,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np
     """(bytes, document ends, rows, starts within the document) of each chunk;
     a row is its number and its id."""
     data, ends, ids, starts, size = [], [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for key in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
             *key, text = key
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -222,35 +235,72 @@ def _place_hash(k: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray
 _PLACE_HASH = "k ^ rid ^ shiftleft(rid, 13) ^ shiftleft(start, 5)"
 
 
-def _dictionary(window: int, trigger: int, firsts, crowded):
-    """Phrases of the dictionary that are to be ordered: with their bytes and
-    the place of the trigger in them, or, under a crowded trigger, as a row for
-    each window."""
+PART = ["g", "left", "body"]
+ENTRIES = "g bigint, doc_id bigint, rid bigint, start bigint, left int, body binary, crowd boolean"
+
+
+def _halves(p: Parse, which: np.ndarray, data: np.ndarray, window: int, trigger: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The two parts of the phrases ``which``: (index in which, first window,
+    number of windows, group). Windows with ``half`` bytes or more before the
+    trigger are in the first, all others in the second."""
+    half, runs, at = (window - trigger + 1) // 2, Runs(data), p.start[which] + p.left[which]
+    left, count = p.left[which], p.count[which].astype(np.int64)
+    one = np.flatnonzero(left >= half)
+    yield one, np.zeros(len(one), np.int64), np.minimum(count, left - half + 1)[one], _mix(runs.of(at[one] - half, at[one] + trigger) ^ p.trigger[which[one]])
+    off = np.maximum(0, left - half + 1)
+    two = np.flatnonzero(count > off)
+    yield two, off[two], (count - off)[two], _mix(~runs.of(at[two], at[two] + window - half + 1) ^ p.trigger[which[two]])
+
+
+def _dictionary(window: int, trigger: int, firsts, several, crowded):
+    """Phrases of the dictionary that are to be ordered, with their group, their
+    bytes and the place of the trigger in them; in two parts each under a
+    crowded trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, ends, rows, starts in _chunks(batches, window):
             p = Parse(data, ends, window, trigger)
-            which = np.arange(len(p.start))
+            which = np.flatnonzero(marked(several.value, p.trigger))
             doc, rid, start = _places(which, p, ends, rows, starts)
-            ok = marked(firsts.value, _place_hash(p.key, rid.to_numpy(), start))
-            many = ok & marked(crowded.value, p.trigger)
-            few = np.flatnonzero(ok & ~many)
-            raw, none = data.tobytes(), pa.nulls(len(few), pa.int64())
-            body = [raw[a : a + n + window - 1] for a, n in zip(p.start[few].tolist(), p.count[few].tolist(), strict=True)]
-            left = pa.array(p.left[few].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([none, none, _long(p.trigger[few]), doc.take(pa.array(few)), rid.take(pa.array(few)), pa.array(start[few]), left, pa.array(body, pa.binary())], _DICTIONARY)
-            if many.any():
-                n = p.count[many]
-                off = np.arange(n.sum()) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
-                of = np.repeat(np.flatnonzero(many), n)
-                at = p.start[of] + off
-                arrays = [_long(p.hashes[at]), _long(Runs(data).of(at, at + window)), _long(p.trigger[of]), doc.take(pa.array(of)), rid.take(pa.array(of)), pa.array(start[of] + off)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(of), pa.int32()), pa.nulls(len(of), pa.binary())], _DICTIONARY)
+            ok = np.flatnonzero(marked(firsts.value, _place_hash(p.key[which], rid.to_numpy(), start)))
+            which, doc, rid, start = which[ok], doc.take(pa.array(ok)), rid.take(pa.array(ok)), start[ok]
+            many = marked(crowded.value, p.trigger[which])
+            few, crowd = np.flatnonzero(~many), np.flatnonzero(many)
+            parts = [(few, np.zeros(len(few), np.int64), p.count[which[few]], p.trigger[which[few]])]
+            if len(crowd):
+                parts += [(crowd[of], off, n, g) for of, off, n, g in _halves(p, which[crowd], data, window, trigger)]
+            raw = data.tobytes()
+            for k, (of, off, n, g) in enumerate(parts):
+                body = [raw[a : a + m + window - 1] for a, m in zip((p.start[which[of]] + off).tolist(), n.tolist(), strict=True)]
+                left = pa.array((p.left[which[of]] - off).astype(np.int32))
+                arrays = [_long(g), doc.take(pa.array(of)), rid.take(pa.array(of)), pa.array(start[of] + off), left, pa.array(body, pa.binary()), pa.array(np.full(len(of), k > 0))]
+                yield pa.RecordBatch.from_arrays(arrays, ["g", "doc_id", "rid", "start", "left", "body", "crowd"])
 
     return run
 
 
-_DICTIONARY = ["k", "k2", "t", "doc_id", "rid", "start", "left", "body"]
+WINDOWS = "k bigint, k2 bigint, t bigint, doc_id bigint, rid bigint, start bigint"
+
+
+def _windows(window: int, trigger: int):
+    """A row for each window of phrases of the dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body", CHUNK):
+            if not batch.num_rows:
+                continue
+            body = batch.column("body").to_pylist()
+            data, ends = np.frombuffer(b"".join(body), np.uint8), np.cumsum([len(b) for b in body])
+            n = np.diff(np.r_[0, ends]) - window + 1
+            of = np.repeat(np.arange(len(body)), n)
+            off = np.arange(n.sum()) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
+            at = np.r_[0, ends[:-1]][of] + off
+            t, doc, rid = (batch.column(c).take(pa.array(of)) for c in ("g", "doc_id", "rid"))
+            start = batch.column("start").to_numpy()[of] + off
+            arrays = [_long(Parse(data, ends, window, trigger).hashes[at]), _long(Runs(data).of(at, at + window)), t, doc, rid, pa.array(start)]
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "k2", "t", "doc_id", "rid", "start"])
+
+    return run
 
 
 def suffix_array(context: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +351,13 @@ def repeated_windows(bodies: list[bytes], left: np.ndarray, group: np.ndarray, w
 
 
 def _order(window: int, trigger: int):
-    """Repeated windows among phrases that come sorted by trigger."""
+    """Repeated windows among phrases that come sorted by group."""
 
     def repeated(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by([("doc_id", "ascending"), ("rid", "ascending"), ("start", "ascending")])  # nulls come last here: first below
         doc = rows["doc_id"].combine_chunks()
         rows = rows.take(pa.array(np.argsort(doc.is_valid().to_numpy(zero_copy_only=False), kind="stable")))
-        group = np.unique(rows["t"].to_numpy(), return_inverse=True)[1]
+        group = np.unique(rows["g"].to_numpy(), return_inverse=True)[1]
         of, at = repeated_windows(rows["body"].to_pylist(), rows["left"].to_numpy().astype(np.int64), group, window, trigger)
         new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)][: len(of)]
         last = np.r_[new[1:], True][: len(of)]
@@ -320,8 +370,8 @@ def _order(window: int, trigger: int):
             held.append(batch)
             if sum(b.nbytes for b in held) > (8 << 20):
                 rows = pa.Table.from_batches(held)
-                t = rows["t"].to_numpy()
-                cut = int(np.searchsorted(t, t[-1], side="left"))  # the last trigger may go on
+                g = rows["g"].to_numpy()
+                cut = int(np.searchsorted(g, g[-1], side="left"))  # the last group may go on
                 if cut:
                     yield repeated(rows.slice(0, cut))
                     held = rows.slice(cut).combine_chunks().to_batches()
@@ -331,12 +381,22 @@ def _order(window: int, trigger: int):
     return run
 
 
-def _later(rows: DataFrame, firsts: DataFrame, total: int, length: Column) -> DataFrame:
+def _later(rows: DataFrame, firsts: DataFrame, total: int, length: Column, keys: list[str] = KEY) -> DataFrame:
     """The rows that stand later than the first of their key, as byte runs."""
-    met = join_counted(rows, firsts.select(*KEY, "m", "first"), KEY, "m", total).where(F.struct("doc_id", "rid", "start") > F.col("first"))
+    met = join_counted(rows, firsts.select(*keys, "m", "first"), keys, "m", total).where(F.struct("doc_id", "rid", "start") > F.col("first"))
     return met.select("rid", "start", (F.col("start") + length).alias("end"))
 
 
+def _rounds(key: str, n: int, most: int) -> list[Column]:
+    """Conditions on a hash, one for each round, that ``n`` rows are dealt by."""
+    rounds = min(MOST_ROUNDS, max(1, -(-n // most)))
+    return [F.pmod(F.shiftrightunsigned(key, 32), F.lit(rounds)) == k if rounds > 1 else F.lit(True) for k in range(rounds)]
+
+
+def _union(tables: list[Stored]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [x.df for x in tables])
+
+
 def stored_texts(docs: DataFrame) -> Stored:
     """rid, doc_id and text of every row."""
     return Stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "dedup-texts")
@@ -354,35 +414,57 @@ def repeats(texts: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> S
     release(spark)
 
     phrases = Stored(texts.mapInArrow(_phrases(window, trigger, repeated), PHRASES), "phrases")
-    firsts = Stored(phrases.df.groupBy(*KEY).agg(one, F.min(place).alias("first")), "phrase-firsts")
-    first = firsts.df
+    firsts, found, n = [], [], phrases.df.count()
+    rounds = _rounds("k", n, ROUND_PHRASES)
+    for part in rounds:
+        own = phrases.df.where(part)
+        firsts.append(Stored(own.groupBy(*KEY).agg(one, F.min(place).alias("first")), "phrase-firsts"))
+        release(spark)
+        found.append(Stored(_later(own, firsts[-1].df.where("m > 1"), n // len(rounds), F.col("count") + (window - 1)), "phrase-runs"))
+        release(spark)
+    phrases.drop()
+    first = _union(firsts)
     several = Stored(first.groupBy("t").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "triggers-several")
+    triggers, entries = several.df.agg(F.count(F.lit(1)), F.coalesce(F.sum("phrases"), F.lit(0))).first()
+    told = bitmap(several.df.select(F.col("t").alias("h")), triggers)
     asked_for = join_counted(first, several.df, ["t"], "phrases", first.count())
-    in_question = Stored(asked_for.select("k", "first.rid", "first.start").select(F.expr(_PLACE_HASH).alias("h")), "phrases-several")
-    asked = bitmap(in_question.df, in_question.df.count())
+    asked = bitmap(asked_for.select("k", "first.rid", "first.start").select(F.expr(_PLACE_HASH).alias("h")), entries)
     crowd = several.df.where(F.col("phrases") > MOST_PHRASES).select(F.col("t").alias("h"))
-    crowded = bitmap(crowd, crowd.count())
-    several.drop()
-    in_question.drop()
-    whole = Stored(_later(phrases.df, first.where("m > 1"), phrases.df.count(), F.col("count") + (window - 1)), "phrase-runs")
-    phrases.drop()
-    firsts.drop()
+    crowded = bitmap(crowd, 256 * crowd.count())  # what it lets through in error costs rows
+    for done in (several, *firsts):
+        done.drop()
     release(spark)
-    dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, crowded), "k bigint, k2 bigint, t bigint, doc_id bigint, rid bigint, start bigint, left int, body binary"), "dictionary")
-    entries, suffixes = dictionary.df.where("body is not null").drop("k", "k2"), dictionary.df.where("body is null").drop("left", "body")
+    dictionary = Stored(texts.mapInArrow(_dictionary(window, trigger, asked, told, crowded), ENTRIES), "dictionary")
+    halves, n = dictionary.df.where("crowd"), dictionary.df.count()
+    parts = Stored(halves.groupBy(*PART).agg(one, F.min(place).alias("first")), "crowd-parts")
+    large = Stored(parts.df.groupBy("g").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > MOST_PHRASES).select("g"), "groups-crowded")
+    some = large.df.count() > 0  # at most n / MOST_PHRASES
+    if parts.df.count():
+        found.append(Stored(_later(halves, parts.df.where("m > 1"), halves.count(), F.length("body"), PART), "crowd-runs"))
     release(spark)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dictionary.df.count() // TASK_PHRASES)
-    parts = entries.repartition(n, "t").sortWithinPartitions("t").mapInArrow(_order(window, trigger), "rid bigint, start bigint, end bigint")
-    found = whole.df.unionByName(parts)
-    crowd_rows = suffixes.count()
-    if crowd_rows:
-        crowd_firsts = suffixes.groupBy(*KEY).agg(one, F.min(place).alias("first")).where("m > 1")
-        found = found.unionByName(_later(suffixes, crowd_firsts, crowd_rows, F.lit(window)))
-    runs = Stored(found.groupBy("rid").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
-    for done in (whole, dictionary):
+    columns = ["g", "doc_id", "rid", "start", "left", "body"]
+    entries = dictionary.df.where("not crowd").select(*columns).unionByName(parts.df.select("g", "first.*", "left", "body"))
+    rounds = _rounds("g", n, ROUND_ENTRIES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // len(rounds) // TASK_PHRASES)
+    kept, last = [*found], []
+    for part in rounds:
+        own = entries.where(part)
+        few = own.join(F.broadcast(large.df), "g", "left_anti") if some else own
+        last = [few.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(_order(window, trigger), "rid bigint, start bigint, end bigint")]
+        if some:
+            rows = Stored(own.join(F.broadcast(large.df), "g").drop("left").mapInArrow(_windows(window, trigger), WINDOWS), "crowd-windows")
+            kept.append(rows)
+            crowd_firsts = rows.df.groupBy(*KEY).agg(one, F.min(place).alias("first")).where("m > 1")
+            last.append(_later(rows.df, crowd_firsts, rows.df.count(), F.lit(window)))
+        if len(rounds) > 1:
+            found.append(Stored(reduce(DataFrame.unionByName, last), "window-runs"))
+            kept, last = [*kept, found[-1]], []
+            release(spark)
+    runs = Stored(reduce(DataFrame.unionByName, [_union(found), *last]).groupBy("rid").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs")), "byte-runs")
+    for done in (dictionary, parts, large, *kept):
         done.drop()
-    for bits in (repeated, asked, crowded):
+    for bits in (repeated, asked, told, crowded):
         bits.destroy()
     release(spark)
     return runs
@@ -406,16 +488,20 @@ def _cut(raw: bytes, runs) -> tuple[bytes, int]:
     return b"".join([*keep, raw[at:]]), len(a)
 
 
+def _told(batch: pa.RecordBatch, runs: list) -> pa.RecordBatch:
+    out = []
+    for text, own in zip(batch.column("text").to_pylist(), runs, strict=True):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        kept, spans = _cut(raw, own)
+        out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    cols = list(zip(*out, strict=True)) or [[]] * 4
+    arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            kept, spans = _cut(raw, runs)
-            out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for batch in slices(batches, "text"):
+        yield _told(batch, batch.column("runs").to_pylist())
 
 
 #: Row numbers, which are a partition and a place, as hashes for a bitmap.
@@ -423,12 +509,14 @@ _ROW_HASH = "rid ^ shiftleft(shiftright(rid, 33), 11)"
 
 
 def _only(some, wanted: bool):
-    """The documents that are in a bitmap of rows, or those that are not."""
+    """The documents that are in a bitmap of rows, or what is said of those that
+    are not, in one pass, so that a task has one Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rid = batch.column("rid").to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(marked(some.value, rid ^ ((rid >> np.uint64(33)) << np.uint64(11))) == wanted))
+            own = batch.filter(pa.array(marked(some.value, rid ^ ((rid >> np.uint64(33)) << np.uint64(11))) == wanted))
+            yield own if wanted else _told(own, [None] * own.num_rows)
 
     return run
 
@@ -440,7 +528,6 @@ def report(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> Dat
     texts = stored_texts(docs).df
     runs = repeats(texts, window, trigger).df
     some = bitmap(runs.select(F.expr(_ROW_HASH).alias("h")), runs.count())
-    schema = "rid bigint, doc_id bigint, text string"
-    met = texts.mapInArrow(_only(some, True), schema).join(runs, "rid", "left")
-    rest = texts.mapInArrow(_only(some, False), schema).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
-    return met.unionByName(rest).select("doc_id", "text", "runs").mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    met = texts.mapInArrow(_only(some, True), "rid bigint, doc_id bigint, text string").join(runs, "rid", "left")
+    said = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return met.select("doc_id", "text", "runs").mapInArrow(_report, said).unionByName(texts.mapInArrow(_only(some, False), said))

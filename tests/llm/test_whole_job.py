@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import hidden_markov, secret_scan, simhash_vptree, soft_mixing, string_tiling
+from lodestone.llm import hidden_markov, prefix_free, secret_scan, simhash_vptree, soft_mixing, string_tiling
+from lodestone.llm.common import Stored
 
 
 def edited(words, changes, rng):
@@ -174,3 +175,35 @@ def test_tiles_of_a_large_shard_link_all(monkeypatch, spark, piece):
     x = fps.view(np.uint64)
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
     assert all(got[i] == got[j] for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def _brute_removed(texts, window):
+    seen, out = set(), {}
+    for k, t in enumerate(texts):
+        cut = [False] * len(t)
+        for i in range(len(t) - window + 1):
+            if t[i : i + window] in seen:
+                cut[i : i + window] = [True] * window
+            seen.add(t[i : i + window])
+        out[k] = sum(cut)
+    return out
+
+
+@pytest.mark.parametrize("crowd,most", [(4, 1 << 20), (4, 40), (2000, 40)])
+def test_substring_dedup_in_rounds_and_by_halves(monkeypatch, spark, crowd, most):
+    """A passage in every text, after and before repeated or other words: its
+    triggers are crowded, and rows stay in proportion to the phrases."""
+    rng, stored = np.random.default_rng(11), Counter()
+    passage = "the quick brown fox jumps over"
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    befores, afters = [word(75) for _ in range(12)], [word(75) for _ in range(5)]
+    texts = [word(30) + (befores[i % 12] if i % 2 else word(75)) + passage + (afters[i % 5] if i % 3 else word(75)) + word(30) for i in range(60)]
+    monkeypatch.setattr(prefix_free, "MOST_PHRASES", crowd)
+    monkeypatch.setattr(prefix_free, "ROUND_PHRASES", most, raising=False)
+    monkeypatch.setattr(prefix_free, "ROUND_ENTRIES", most, raising=False)
+    drop = Stored.drop
+    monkeypatch.setattr(Stored, "drop", lambda self: (stored.update({self.path.rpartition("/")[2].rpartition("-")[0]: self.df.count()}), drop(self)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in prefix_free.report(docs).collect()}
+    assert got == _brute_removed(texts, 100) and any(got.values())
+    assert stored["dictionary"] <= 2 * stored["phrase-firsts"]
