@@ -17,16 +17,17 @@ unbounded group. A shard returns a spanning forest of its links, never all
 pairs.
 
 With ``similar`` a link also needs that Jaccard similarity of the two sets of
-shingles. Similarity 0.8 is about 10 of 64 bits and often 16, a radius at which
-the tree prunes next to nothing. Candidates are then fingerprints within
-``distance`` that share a bucket, one of ``BANDS`` keys of two min-wise shingles
+shingles. The tree finds all fingerprints within ``REACH`` bits, whatever their
+shingles, as without it. Similarity 0.8 is about 10 of 64 bits and often 16, a
+radius at which the tree prunes next to nothing. Beyond ``REACH``, up to
+``distance``, further candidates are therefore fingerprints that share a bucket, one of ``BANDS`` keys of two min-wise shingles
 each (of pairs at 0.8, all but 0.36 ** 8 = 0.03 % share one), and sets of
-shingle hashes are compared exactly. In a bucket a fingerprint is compared with
-all others, and its ``NEAREST`` nearest and the bucket's first within distance
+shingle hashes are compared exactly. In a shard or a bucket a fingerprint is compared with
+all others, and its ``NEAREST`` nearest and the first within distance
 are candidates, so that a large group of near copies is linked through
 neighbours, not pair by pair. What this leaves out is then compared too: rows
-of a bucket of more than ``NEAREST`` others that are still in different
-components, and within distance of one another, have all their sets compared
+of a shard, or of a bucket of more than ``NEAREST`` others, that are still in
+different components, and within distance of one another, have all their sets compared
 (``rest_links``), so that no link between components is lost.
 
 Defined results: a null text counts as empty; a text without words has
@@ -41,6 +42,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -60,6 +62,8 @@ MOST_LEVELS = 16
 BROADCAST_ROWS = 1 << 20
 DISTANCE = 2
 SHINGLE = 3
+#: Bits that the tree searches, all of them, where sets of shingles decide.
+REACH = 3
 BANDS = 8
 NEAREST = 8
 #: Bytes of shingle sets in a piece of a bucket whose sets are all compared.
@@ -250,9 +254,9 @@ def _compare(distance: int):
     return run
 
 
-def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) that join all of the ``n`` distinct ``fp`` within distance,
-    directly or through others."""
+def shards(fps: DataFrame, n: int, distance: int) -> DataFrame:
+    """(leaf, fp, home, pieces): the ``n`` distinct ``fp`` in the shards of the
+    tree that they have to be compared in, to find all within distance."""
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
     share = min(1 << 31, int(SAMPLE / max(1, n) * (1 << 31)))
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < share).select("fp").toArrow()["fp"].to_numpy() if levels else np.zeros(0, np.int64)
@@ -260,8 +264,13 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     dealt = fps.select("fp").mapInArrow(_deal(tree, distance), "leaf bigint, fp bigint, home boolean")
     # a row for each shard that is too large, of which there are 2**levels at the most
     large = fps.select("fp").mapInArrow(_homes(tree), "leaf bigint").groupBy("leaf").count().where(F.col("count") > PIECE)
-    dealt = dealt.join(F.broadcast(large), "leaf", "left").withColumn("pieces", F.ceil(F.coalesce("count", F.lit(1)) / PIECE))
-    return _tiled(dealt).groupBy("leaf", "lo", "hi").applyInArrow(_compare(distance), "a bigint, b bigint")
+    return dealt.join(F.broadcast(large), "leaf", "left").withColumn("pieces", F.ceil(F.coalesce("count", F.lit(1)) / PIECE)).drop("count")
+
+
+def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that join all of the ``n`` distinct ``fp`` within distance,
+    directly or through others."""
+    return _tiled(shards(fps, n, distance)).groupBy("leaf", "lo", "hi").applyInArrow(_compare(distance), "a bigint, b bigint")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -282,19 +291,22 @@ def _homes(tree: VantageTree):
 
 
 def near_pairs(members: np.ndarray, others: np.ndarray, distance: int, among: bool = True, nearest: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a bucket: of each value the nearest members within
-    distance, and the first."""
+    """Candidate pairs of a shard or a bucket: of each value the nearest members
+    within distance, and the first."""
     x = np.concatenate([members, others])
     step = max(1, (1 << 21) // max(1, len(members)))
     for at in range(0 if among else len(members), len(x), step):
         apart = np.bitwise_count(x[at : at + step, None] ^ members[None, :])
         own = np.arange(at, min(at + step, len(members)))
         apart[own - at, own] = 65
-        most = min(nearest, len(members))
+        most, hit = min(nearest, len(members)), np.flatnonzero((apart <= distance).any(axis=1))
+        if not len(hit):
+            continue
+        apart = apart[hit]
         near = np.argpartition(apart, most - 1, axis=1)[:, :most]
         near = np.c_[near, (apart <= distance).argmax(axis=1)]
         row, k = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
-        yield x[at + row], members[near[row, k]]
+        yield x[at + hit[row]], members[near[row, k]]
 
 
 def _candidates(distance: int, nearest: int):
@@ -310,6 +322,16 @@ def _candidates(distance: int, nearest: int):
     return run
 
 
+def _shard_candidates(distance: int, nearest: int):
+    def run(group: pa.Table) -> pa.Table:
+        x, home, low = (group.column(c).to_numpy() for c in ("fp", "home", "low"))
+        found = [pair for members, others, among in _sides(x.view(np.uint64), home, low) for pair in near_pairs(members, others, distance, among, nearest)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k].view(np.int64) for f in found)]) for k in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return run
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -403,17 +425,19 @@ def _tile_lists(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("leaf", "lo", "hi").agg(F.collect_list(F.struct(*columns, "low")).alias("x"))
 
 
-def similar_links(rows: DataFrame, distance: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b) of ``sketches`` within distance whose sets of shingles have
-    at least the Jaccard similarity ``similar``: of each, those to its nearest
-    in a bucket. With them the buckets and the sets, for ``rest_links``."""
+def similar_links(rows: DataFrame, tree: DataFrame, distance: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of ``sketches`` whose sets of shingles have at least the
+    Jaccard similarity ``similar``: of each, those to its nearest in the shards
+    ``tree``, within ``REACH``, and in a bucket, within distance. With them the
+    buckets and the sets, for ``rest_links``."""
     dealt = Stored(rows.select("fp", F.explode("keys").alias("leaf")).distinct(), "bucket-keys")
     sizes = dealt.df.groupBy("leaf").count().where("count > 1")
     shared = Stored(join_counted(dealt.df, sizes, ["leaf"], "count", dealt.df.count()).withColumn("pieces", F.ceil(F.col("count") / PIECE)), "buckets").df
     dealt.drop()
     release(rows.sparkSession)
     groups = _tile_lists(_tiled(shared), "fp").select("x")
-    pairs = Stored(groups.mapInArrow(_candidates(distance, NEAREST), "a bigint, b bigint").distinct(), "candidates").df
+    near = _tiled(tree).groupBy("leaf", "lo", "hi").applyInArrow(_shard_candidates(min(REACH, distance), NEAREST), "a bigint, b bigint")
+    pairs = Stored(near.union(groups.mapInArrow(_candidates(distance, NEAREST), "a bigint, b bigint")).distinct(), "candidates").df
     release(rows.sparkSession)
     # of a large bucket all pair with the first, so that its set is asked for often
     wanted = Stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "wanted").df
@@ -429,11 +453,11 @@ def similar_links(rows: DataFrame, distance: int, similar: float) -> tuple[DataF
 
 def rest_links(shared: DataFrame, sets: DataFrame, labels: DataFrame, distance: int, similar: float) -> DataFrame | None:
     """Links between the components ``labels`` (node, label) that nearest
-    neighbours missed, or None. Where a bucket has at most ``NEAREST`` others,
-    all pairs have been compared already. A fingerprint is in ``BANDS`` buckets
-    at the most, so that no join here has a hot key but that by bucket."""
+    neighbours missed in shards or buckets (leaf, fp, pieces), or None. A
+    fingerprint is in ``BANDS`` buckets at the most, and in some shards, so that
+    no join here has a hot key but that by bucket."""
     facts = sets.join(labels, sets["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), F.length("set").alias("size"))
-    named = shared.where(F.col("count") > NEAREST + 1).join(facts, "fp")
+    named = shared.select("leaf", "fp", "pieces").join(facts, "fp")
     parted = _tile_lists(_tiled(named), "fp", "label", "size").mapInArrow(_parted(distance, similar), "leaf bigint, fp bigint").distinct()
     parted = Stored(parted.join(facts, "fp"), "parted")
     n = parted.df.count()
@@ -445,11 +469,17 @@ def rest_links(shared: DataFrame, sets: DataFrame, labels: DataFrame, distance:
     return _tiled(asked.select("leaf", "fp", "label", "set", "pieces")).groupBy("leaf", "lo", "hi").applyInArrow(_compare_sets(distance, similar), "a bigint, b bigint")
 
 
-def _similar_components(rows: DataFrame, distance: int, similar: float) -> DataFrame:
-    found, shared, sets = similar_links(rows, distance, similar)
+def _similar_components(rows: DataFrame, fps: DataFrame, n: int, distance: int, similar: float) -> DataFrame:
+    reach = min(REACH, distance)
+    tree = Stored(shards(fps, n, reach), "shards").df
+    found, shared, sets = similar_links(rows, tree, distance, similar)
     labels = components(found)
-    rest = rest_links(shared, sets, labels, distance, similar)
-    return labels if rest is None else components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
+    # where a bucket has at most NEAREST others, all pairs have been compared
+    rest = [rest_links(tree, sets, labels, reach, similar), rest_links(shared.where(F.col("count") > NEAREST + 1), sets, labels, distance, similar)]
+    rest = [x for x in rest if x is not None]
+    if not rest:
+        return labels
+    return components(reduce(DataFrame.union, rest, labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
 def _assigned(texts: DataFrame, distance: int, shingle: int, similar: float | None) -> DataFrame:
@@ -460,7 +490,7 @@ def _assigned(texts: DataFrame, distance: int, shingle: int, similar: float | No
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     firsts = Stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints-distinct").df
     n = firsts.count()
-    labels = components(links(firsts, n, distance)) if similar is None else _similar_components(rows, distance, similar)
+    labels = components(links(firsts, n, distance)) if similar is None else _similar_components(rows, firsts, n, distance, similar)
     named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("least"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("fps"))
     of = join_counted(named.select("fp", "n", "label"), least, ["label"], "fps", n).select("fp", "n", "size", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first"))

@@ -207,3 +207,23 @@ def test_substring_dedup_in_rounds_and_by_halves(monkeypatch, spark, crowd, most
     got = {r.doc_id: r.n_removed for r in prefix_free.report(docs).collect()}
     assert got == _brute_removed(texts, 100) and any(got.values())
     assert stored["dictionary"] <= 2 * stored["phrase-firsts"]
+
+
+def test_the_tree_finds_near_copies_without_a_common_bucket(spark):
+    """Repeats decide the fingerprints, words that occur once the sets."""
+    def close(a, b):
+        x, y = (simhash_vptree.shingle_hashes(t, 5) for t in (a, b))
+        keys = [set(simhash_vptree.band_keys(np.unique(h)).tolist()) for h in (x, y)]
+        apart = (simhash_vptree.simhash(x) ^ simhash_vptree.simhash(y)).bit_count()
+        return 1 <= apart <= simhash_vptree.REACH and not keys[0] & keys[1] and len(set(x.tolist()) & set(y.tolist())) >= 0.5 * len(set(x.tolist()) | set(y.tolist()))
+
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    pairs = []
+    while len(pairs) < 3:
+        body = word(30) * 6
+        a, b = (" ".join(body + word(10)) for _ in range(2))
+        pairs += [(a, b)] * close(a, b)
+    texts = [t for pair in pairs for t in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_vptree.keep_one(docs, 24, 5, 0.5).collect()) == [0, 2, 4]
