@@ -40,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a file, where a table's number of rows is known before.
+FILE_ROWS = 1 << 17
+
+
 class Stored:
     """A table written to the shared folder: lineage ends there.
 
@@ -48,7 +52,11 @@ class Stored:
 
     kept: list[Stored] = []
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, most: int | None = None):
+        """``most``: rows that it has at the most, where few tasks are to write
+        few rows; each that writes a file may start processes (local files)."""
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FILE_ROWS)))
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)

@@ -45,9 +45,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     kept = Stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     now = mark()
     for _ in range(most_rounds):
-        large = Stored(_large_star(kept.df, now[0]), "links")
+        large = Stored(_large_star(kept.df, now[0]), "links", 2 * now[0])
         kept.drop()
-        kept = Stored(_small_star(large.df, now[0]), "links")
+        kept = Stored(_small_star(large.df, now[0]), "links", 2 * now[0])
         large.drop()
         before, now = now, mark()
         if now == before:

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from lodestone.llm import hidden_markov, prefix_free, secret_scan, simhash_vptree, soft_mixing, string_tiling
 from lodestone.llm.common import Stored
+from lodestone.llm.components import components
 
 
 def edited(words, changes, rng):
@@ -227,3 +228,19 @@ def test_the_tree_finds_near_copies_without_a_common_bucket(spark):
     texts = [t for pair in pairs for t in pair]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash_vptree.keep_one(docs, 24, 5, 0.5).collect()) == [0, 2, 4]
+
+
+def test_small_tables_of_links_are_written_by_few_tasks(monkeypatch, spark):
+    kept = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in kept}
+    tasks, drop = [], Stored.drop
+    monkeypatch.setattr(Stored, "drop", lambda self: (tasks.append(len(self.df.inputFiles())), drop(self)))
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        links = spark.range(400).selectExpr("id AS a", "id div 20 AS b")
+        assert {r.label for r in components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(tasks[1:]) == 1
