@@ -244,3 +244,8 @@ def test_small_tables_of_links_are_written_by_few_tasks(monkeypatch, spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(tasks[1:]) == 1
+
+
+def test_rows_without_repeats_are_told_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id bigint, text string")
+    assert prefix_free.report(docs)._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
