@@ -435,3 +435,30 @@ def test_token_output(docs, empty):
 def test_pieces_encode_as_the_whole(text):
     e = token_output.encoder(queries.tokenizer_path())
     assert np.frombuffer(e(text), "<u4").tolist() == e.whole.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aLZé\u024fstmdrevl''''1\u00b2,.\n\t\r   "), max_size=25), max_size=6), st.sampled_from(["", "\u00a0", "<|endoftext|>"]))
+def test_texts_split_together_encode_as_each(texts, odd):
+    e = token_output.encoder(queries.tokenizer_path())
+    joined = "".join(texts)
+    if joined:
+        chars, firsts = np.array([ord(c) for c in joined], np.uint32), np.cumsum([0, *map(len, texts)])[:-1]
+        at = token_output.piece_starts(chars, token_output.CLASSES[chars], firsts).tolist()
+        assert [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)] == [p for t in texts for p in re.findall(token_output.PIECES, t)]
+    texts = [*texts, odd, "a" + odd, *texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.many(texts)] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_keep_coming_are_not_forgotten():
+    model, met = token_output.encoder(queries.tokenizer_path()).whole.model, Counter()
+
+    def tokenize(piece):
+        met[piece] += 1
+        return model.tokenize(piece)
+
+    known, long = token_output.Pieces(tokenize, 10), b"a" * (token_output.LONG_PIECE + 1)
+    for i in range(100):
+        assert known[b"often"] == token_output._bytes([t.id for t in model.tokenize("often")])
+        known[b"%d" % i], known[long]
+    assert met["often"] == 1 and len(known) + len(known.old) <= 20 and long not in known
